@@ -1,0 +1,245 @@
+"""Template residue, filler, error pages and script notices in place of content.
+
+Each kind has its own grammar: unfilled places by their delimiters, messages by the
+shape of the sentence, traces by the shape of the line. What a text explains, quotes or
+translates is discounted by its surroundings: a definition ("word (part of speech): ..."),
+quotation marks, a sentence beside its translation, code, words such as "is written" or
+"stands for" around a few places in an otherwise filled text.
+
+One JVM regular expression finds candidates; only those reach Python.
+"""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lexiloom.llm.consistent import SUSPECT, consistent
+
+HARD = re.compile(SUSPECT)
+
+_NAME = r"[^\W\d][\w.]*(?: [\w.]+){0,3}"  # a name, or a few words
+_ID = r"[^\W\d][\w.]+"  # one name of two characters or more
+
+# Delimiters of unfilled places, the strict ones first.
+PLACES = re.compile(
+    "|".join(
+        (
+            rf"\{{\{{\{{? ?{_NAME}(?:\|\w+)? ?\}}?\}}\}}",  # {{name}} {{name|default}} {{{name}}}
+            rf"\{{% ?{_NAME} ?%\}}",  # {% name %}
+            rf"[$#]\{{{_NAME}\}}",  # ${name} #{name}
+            rf"<%=? ?{_NAME} ?%>|<\?=? ?\$?{_NAME} ?\?>",  # <%= name %> <?= $name ?>
+            rf"&lt;/?{_NAME}/?&gt;|<<{_NAME}>>|<{_ID}/>",  # &lt;name&gt; <<name>> <name/>
+            rf"<(?:your|insert|nhập|điền|chèn) {_NAME}>",  # <your name here>
+            rf"\[\[{_NAME}\]\]|@@{_NAME}@@",  # [[name]] @@name@@
+            rf"\[(?:todo|fixme|insert|chèn|điền|nhập|tbd)\b:? ?{_NAME}\]",  # [TODO: name]
+            rf"\((?:điền|chèn|nhập|insert) {_NAME} (?:vào đây|ở đây|here)\)",  # (điền name vào đây)
+            rf"%\({_ID}\)[sdf]|%{_ID}%|(?<![\w$])\${_ID}\$(?![\w$])",  # %(name)s %name% $name$
+            rf"XXX_{_NAME}_XXX|(?<!\w)__{_NAME}__(?!\w)",  # XXX_name_XXX __name__
+            rf"(?<![\w{{])\{{{_ID}\}}(?!\}})",  # {name}
+            rf"(?<![\w~])~{_ID}~(?![\w~])|(?<![\w:]):{_ID}:(?![\w:])",  # ~name~ :name:
+            rf"(?<![\w\[])\[{_NAME}\](?![\w\](])",  # [name]
+        )
+    ),
+    re.IGNORECASE,
+)
+#: A bracketed word may be an ordinary remark; as a place it fills a slot of its line.
+_WEAK = re.compile(r"\[[^\[\]:]*\]\Z", re.IGNORECASE)
+_SLOT = re.compile(r"(?:^|[-*=+/:,]\s?|\bDear |\bWelcome to |\bof |\bis:? |\bup |Từ |là |nhật: |nghĩa )\Z", re.MULTILINE)
+
+_SCRIPT = r"(?:java ?scripts?|js|scripts?|scripting|client-side code|active content|mã kịch bản|mã lệnh|tập lệnh|nội dung động)"
+_THING = r"(?:(?:this|the|that|your) (?:\w+ ){0,2}?(?:page|entry|article|examples?|list|section|content|dictionary|pronunciation|results?|request|data|site|definition|audio)\b|/\w\S*)"
+_SORRY = r"(?:sorry|oops|whoops|hmm|uh-oh|unfortunately|we are sorry|apologies|ah)"
+_TIEC = r"(?:xin lỗi|rất tiếc|thật tiếc|ôi|hiện tại|hiện nay|tiếc quá|úi)"
+_STATUS = (
+    r"(?:not found|gone|forbidden|unauthorized|bad request|bad gateway|internal server error|service unavailable|"
+    r"gateway time-?out|too many requests|request time-?out|method not allowed|không tìm thấy|máy chủ\b)"
+)
+
+# Sentences that a page's machinery says, at the start of a line or sentence.
+ERRORS = (
+    rf"(?:http(?: error)?|error|lỗi|mã lỗi) ?[45]\d\d\b(?=\s*(?:$|[-–:.])|\s+{_STATUS})",
+    rf"[45]\d\d\s*[-–:]?\s*{_STATUS}\s*[.!]?$",
+    rf"{_SORRY}[,!.]? (?:but )?(?:we (?:could not|couldn't|cannot|can't|were unable to|are unable to|failed to) \w+|there was (?:a|an) \w+ \w+ing|nothing was \w+ for|something went wrong with) {_THING}",
+    r"(?:oops|whoops|uh-oh)[!,.] ?(?:something|nothing|the|that|this|an error)",
+    r"something went wrong\.?(?=\s|$)",
+    rf"{_TIEC},? (?:chúng tôi )?(?:không thể (?:tải|mở|hiển thị|tìm)|chưa (?:mở|tải|tìm|hiển thị) được|không có dữ liệu|không (?:mở|tải|tìm) được|hệ thống (?:đang )?gặp)",
+    r"(?:the )?(?:server|service) is (?:not responding|temporarily|currently)",
+    r"(?:hệ thống|máy chủ) (?:đang )?(?:quá tải|bảo trì|không phản hồi|gặp sự cố)",
+    r"could not connect to the ",
+    r"too many (?:lookups|requests|searches) from",
+    r"your session has (?:expired|timed out)",
+    r"phiên làm việc (?:đã|của bạn)",
+    r"you (?:do not|don't) have (?:permission|access|the right) to (?:view|open|read|see|access)",
+    r"bạn không có quyền (?:truy cập|xem|mở|đọc)",
+    r"access denied\.?(?=\s|$)",
+    r"the (?:requested )?(?:address|page|url) (?:/\S+ )?(?:was|could|cannot|does) not\b",
+    r"the requested (?:address|page|url)\b",
+    r"(?:không tìm thấy trang|trang không tồn tại|không tồn tại trang)\.?$",
+    r"đường dẫn /?\S+ không tồn tại",
+    r"(?:the|this) (?:site|page|section|website|article|entry) is (?:under (?:construction|maintenance)|down|not available|temporarily)",
+    r"(?:trang|trang web|trang này|mục này) (?:đang|tạm) (?:bảo trì|xây dựng|ngừng)",
+    r"checking your browser",
+    r"(?:cookies|cookies and scripts) must be (?:allowed|enabled)",
+)
+TRACES = (
+    r"traceback \(most recent call last\)",
+    r'file ".+", line \d+, in ',
+    r"at [\w.$]+\([\w.]+:\d+\)",
+    r"(?:[\w$]+\.)*[a-z]\w*(?:Exception|Error): ",
+    r"(?:php )?(?:warning|notice|fatal error|parse error): .+ (?:in \S+ )?on line \d+",
+    r"error: (?:relation|column|syntax error|duplicate key|function) ",
+    r"(?:sql)?state\[?\w+\]?: ",
+)
+SCRIPTS = (
+    rf"(?:please |kindly )?(?:enable|activate|turn on|switch on|allow|permit) {_SCRIPT}\b",
+    rf"(?:you (?:need|have|must|will need)(?: to)?) (?:enable|activate|turn on|switch on|allow|permit) {_SCRIPT}\b",
+    rf"{_SCRIPT} (?:is|are|must be|needs to be) (?:required|needed|disabled|enabled|off|switched off|turned off|allowed)",
+    rf"(?:this|the|our) (?:\w+ ){{1,2}}(?:needs|requires|uses) {_SCRIPT}\b",
+    rf"your browser (?:does not|doesn't|cannot|has) .{{0,24}}{_SCRIPT}\b",
+    r"noscript:",
+    rf"(?:to|in order to|before you can|if you want to) (?:\w+ ){{1,2}}[^.\n]{{1,60}}(?:enable|activate|turn on|switch on|allow|permit) {_SCRIPT}\b",
+    rf"(?:vui lòng|hãy|xin|xin hãy|cần|bạn cần|bạn phải|phải|mời) (?:bật|kích hoạt|cho phép|mở) {_SCRIPT}\b",
+    rf"(?:trang|từ điển|mục|ứng dụng)(?: web)?(?: này)? (?:cần|đòi hỏi|yêu cầu) (?:có |bật )?{_SCRIPT}\b",
+    rf"trình duyệt (?:của bạn )?(?:đang |đã )?(?:chặn|tắt|không (?:chạy|hỗ trợ|bật)(?: được)?) {_SCRIPT}\b",
+    rf"(?:muốn|để|trước khi) (?:đọc|xem|dùng|nghe|mở|tra|sử dụng) [^.\n]{{1,60}}(?:bật|kích hoạt|cho phép|mở) {_SCRIPT}\b",
+)
+FILLER = (
+    r"(?:your|the) (?:name|text|title|content|description|image|logo) (?:goes|comes) here",
+    r"(?:coming soon|sắp ra mắt|sắp có)[!.…]*$",
+    r"tbd[.:]?$|tba[.:]?$",
+    r"(?:todo|fixme|to do|xxx)\b:? (?:write|add|fill|insert|describe|complete|translate|check|fix|viết|thêm|bổ sung|điền|dịch)\b",
+    r"to be (?:completed|added|written|filled in|announced|determined|translated) by\b",
+    r"to be (?:completed|added|written|announced|determined)\.?$",
+    r"sample text\b",
+    r"(?:replace|please replace) this (?:paragraph|text|sentence|section) with",
+    r"(?:type|enter|write|insert|put) (?:the|your) [\w ]{1,40} here\b",
+    r"(?:this is )?(?:a )?(?:placeholder|dummy|filler|sample) (?:body|text|content|paragraph)\b(?:[,.:]|$| used| to be| for)",
+    r"\(?(?:chưa có|không có|thiếu) nội dung\)?\.?$|\(?(?:no|missing) content(?: yet)?\)?\.?$",
+    r"(?:đây là )?(?:đoạn )?(?:văn bản|nội dung|đoạn văn) (?:mẫu|thử|giả)(?:,| để xem|\.$)",
+    r"(?:nội dung|bài viết|bài này|mục này|phần này|trang này) (?:đang|sẽ) được (?:cập nhật|bổ sung|biên soạn|hoàn thiện)(?: sau)?\.?$",
+    r"(?:nhập|điền|gõ) [\w ]{1,30} (?:vào đây|ở đây|tại đây)",
+    r"item \d+\s*\n\s*(?:[-*] )?description of item \d+",
+)
+#: Words of printers' mock Latin, in the forms that filler uses.
+LATIN = frozenset(
+    "lorem ipsum dolor sit amet ametis consectetur conse adipiscing adipa elit elitum sed sedo eiusmod tempor temporis "
+    "incididunt labore labora dolore magna magnis aliqua aliquo enim minim veniam vendam nostrud nostra ullamco ullamo "
+    "laboris commodo consequat velit velitas esse cillum fugiat nulla pariatur situr tetura".split()
+)
+
+_START = r"(?:^[-*=+•·#> \t]*+|(?<=[.!?…][ \t])|(?<=[.!?…][\"”)][ \t]))"
+MESSAGES = re.compile(_START + "(?:" + "|".join(f"(?:{p})" for p in (*ERRORS, *TRACES, *SCRIPTS, *FILLER)) + ")", re.IGNORECASE | re.MULTILINE)
+REPEAT = re.compile(r"(?<!\S)([^\W_]{1,8})(?:(?:[ \t]*\n[ \t]*|[ \t]+|[ \t]*[-–,.][ \t]*)\1(?![^\W_])){3,}", re.IGNORECASE)
+#: Keys of one row, struck at random: no words are made of them alone for that long.
+MASH = re.compile(r"^[-*=+•·#> \t]*+(?=[^\n]*[a-z]{5})[asdfghjkl; \t]{18,}$|^[-*=+•·#> \t]*+(?=[^\n]*[a-z]{5})[zxcvbnm,. \t]{18,}$", re.MULTILINE)
+SENTENCE = re.compile(r"[^.!?\n]+")
+
+DEFINITION = re.compile(r"^[^\n(:]{1,60}\((?:[^()\n]{0,30}\b)?(?:từ|ngữ|noun|verb|adjective|adverb|phrase|n\.|v\.|adj\.)[^()\n]{0,20}\): ?", re.IGNORECASE)
+EXPLAINS = re.compile(
+    r"\b(?:such as|for example|is written|are written|is called|stands? for|means|notation|syntax|format string|in a template|in a shell|"
+    r"double braces|the name|the mark|has one|variable|placeholder|chẳng hạn|ví dụ|gọi là|nghĩa là \"|viết là|ký hiệu|kí hiệu|cú pháp|biến số)\b",
+    re.IGNORECASE,
+)
+CODE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]+`|<(pre|code)>.*?</\1>", re.DOTALL)
+
+#: Texts that match none of this hold no residue; the JVM decides.
+CANDIDATE = (
+    rf"(?i){SUSPECT}|nội dung|content|"
+    r"[{}$@~\[\]]|%[\w(]|<[\w<%?]|&lt;|__|XXX|:[\p{L}\p{N}_.]+:|\(điền |\(chèn |[45]\d\d|went wrong|sorry|oops|hmm|uh-oh|unfortunately|"
+    r"xin lỗi|tiếc|ôi,|hiện tại|hiện nay|server|service|hệ thống|máy chủ|connect|too many|session|phiên|permission|quyền|denied|address|"
+    r"the page|không tìm thấy|không tồn tại|tồn tại trang|under |bảo trì|xây dựng|tạm ngừng|is down|not available|checking your|cookies|"
+    r"traceback|line \d|at [\w.$]+\(|exception|error|warning|fatal|script|\bjs\b|client-side|kịch bản|mã lệnh| here\b|"
+    r"coming soon|sắp |tbd|tba|todo|fixme|to do|to be |sample|replace|placeholder|dummy|filler|mẫu|thử|giả|đây|được cập nhật|bổ sung|biên soạn|"
+    r"active content|tập lệnh|nội dung động|[asdfghjkl; ]{18}|[zxcvbnm,. ]{18}|item \d|" + "|".join(sorted(LATIN - {"sed", "sit", "amet", "esse"})) + r"|(?<![^\s])([^\W_]{1,8})[\s,.–-]+\1(?=[\s,.–-]|$)"
+)
+
+
+def _line(text: str, at: int) -> tuple[str, int]:
+    start = text.rfind("\n", 0, at) + 1
+    end = text.find("\n", at)
+    return text[start : len(text) if end < 0 else end], at - start
+
+
+def _quoted(line: str, at: int) -> bool:
+    before = line[:at]
+    return before.count('"') % 2 == 1 or before.count("“") > before.count("”") or before.count("«") > before.count("»")
+
+
+def _translated(line: str, start: int, end: int) -> bool:
+    """Whether the message is one side of a pair of a sentence and its translation."""
+    for m in re.finditer(r"(?<=[.!?\"”…])\s+[-–—=|+]\s+|\t|(?<=\w)\s+[-–—=|]\s+(?=\S[^\n]*[.!?]?$)", line):
+        other = line[m.end() :] if m.start() >= end else line[: m.start()] if m.end() <= start else ""
+        other = other.strip(" -*=+•")
+        if len(re.findall(r"[^\W\d_]+", other)) >= 2 and not PLACES.search(other):
+            # the message itself may hold a dash ("HTTP 404 - Not Found")
+            if not re.match(rf"{_STATUS}[.!]?$", other, re.IGNORECASE):
+                return True
+    return False
+
+
+def residue(text: str | None) -> str | None:
+    """What kind of residue a text holds (``place``, ``message`` or ``filler``), or null."""
+    if not text:
+        return None
+    text = re.sub(r"\r\n?", "\n", consistent(text) if HARD.search(text) else text)
+    text = CODE.sub(lambda m: " " * len(m[0]), text)
+    for m in MESSAGES.finditer(text):
+        line, at = _line(text, m.start())
+        first = re.match(r"\s*", m[0]).end()
+        if DEFINITION.match(line) or _quoted(line, at + first) or _translated(line, at, at + len(m[0].split("\n")[0])):
+            continue
+        return "message"
+    for m in REPEAT.finditer(text):
+        word = m[1].lower()
+        if word.isdigit() or len(word) > 5 and len(m[0]) < 8 * len(word):
+            continue
+        line, at = _line(text, m.start())
+        if not DEFINITION.match(line) and not _quoted(line, at):
+            return "filler"
+    if MASH.search(text):
+        return "filler"
+    for m in SENTENCE.finditer(text):
+        words = re.findall(r"[^\W\d_]+", m[0].lower())
+        if len(words) >= 4 and sum(w in LATIN for w in words) >= 0.6 * len(words):
+            return "filler"
+    weak = []
+    for m in PLACES.finditer(text):
+        line, at = _line(text, m.start())
+        if DEFINITION.match(line) or _quoted(line, at):
+            continue
+        if EXPLAINS.search(line) and len(PLACES.findall(line)) <= 2 and len(line.split()) > 8:
+            continue
+        if _WEAK.search(m[0]) and not re.match(r"\[(?:todo|fixme|insert|chèn|điền|nhập|tbd)\b", m[0], re.IGNORECASE):
+            weak.append(bool(_SLOT.search(text[max(0, m.start() - 12) : m.start()])))
+            continue
+        return "place"
+    return "place" if any(weak) else None
+
+
+@F.pandas_udf(T.StringType())
+def _residue_udf(texts: pd.Series) -> pd.Series:
+    return texts.map(residue, na_action="ignore")
+
+
+_residue_once = _residue_udf.asNondeterministic()
+
+
+def residue_texts(documents: DataFrame) -> DataFrame:
+    """``(doc_id, kind)`` of the documents that hold residue, wholly or in part.
+
+    Null and empty texts hold none. Repeated rows come out as often as they came in.
+    Texts are read whole, whatever their length.
+    """
+    some = documents.select("doc_id", "text").filter(F.col("text").rlike(CANDIDATE))
+    return some.select("doc_id", _residue_once("text").alias("kind")).filter(F.col("kind").isNotNull())
+
+
+def clean_texts(documents: DataFrame) -> DataFrame:
+    """The documents without residue, all their columns kept."""
+    checked = documents.withColumn("_kind", _residue_once(F.when(F.col("text").rlike(CANDIDATE), F.col("text"))))
+    return checked.filter(F.col("_kind").isNull()).drop("_kind")
