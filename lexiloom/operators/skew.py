@@ -18,13 +18,14 @@ def hot_rows(table: DataFrame, count_col: str, least: int, most: int = HOT_KEYS)
     return table.filter(F.col(count_col) >= least).orderBy(F.col(count_col).desc()).limit(most)
 
 
-def lookup(left: DataFrame, table: DataFrame, key: str, values: list[str], spread: list[str], count_col: str, least: int = 20_000, how: str = "left") -> DataFrame:
+def lookup(left: DataFrame, table: DataFrame, key: str, values: list[str], spread: list[str], count_col: str, least: int = 20_000, how: str = "left", hot: DataFrame | None = None) -> DataFrame:
     """Equi-join ``left`` to ``table`` (unique on ``key``), taking its ``values``.
 
     The rows of hot keys meet a bounded broadcast and skip the shuffle's key: they are
     spread by a hash of the ``spread`` columns. All other rows are joined by key.
+    ``hot`` gives the hot rows where ``table`` is costly to compute once more.
     """
-    hot = hot_rows(table, count_col, least).select(F.col(key).alias("_hot_key"), F.struct(*values).alias("_hot"))
+    hot = (hot_rows(table, count_col, least) if hot is None else hot).select(F.col(key).alias("_hot_key"), F.struct(*values).alias("_hot"))
     rest = table.select(F.col(key).alias("_cold_key"), F.struct(*values).alias("_cold"))
     kept = left.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
     away = F.when(F.col("_hot").isNull(), F.col(key))
