@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from lexiloom.llm.consistent import consistent
 from lexiloom.operators.skew import lookup
+from lexiloom.session import checkpointed
 
 #: Least Jaccard similarity of letter pairs of a candidate.
 THRESHOLD = 0.3
@@ -186,7 +187,8 @@ def sense_labels(entries: DataFrame, labels: DataFrame, threshold: float = THRES
     """
     senses = entries.select("entry_id", F.posexplode("senses").alias("sense_no", "s")).select("entry_id", "sense_no", F.col("s.pos").alias("pos"))
     senses = senses.filter(F.col("pos").rlike(r"[^\s\p{Z}]"))
-    mapping = canonical_values(senses.select(F.col("pos").alias("value")), labels, threshold)
+    # a row per distinct value, read twice below: computed once, kept in the shared folder
+    mapping = checkpointed(canonical_values(senses.select(F.col("pos").alias("value")), labels, threshold).withColumnRenamed("value", "pos"))
     out = lookup(senses, mapping, "pos", ["pos_id"], ["entry_id", "sense_no"], "n")
     names = F.broadcast(labels.select(F.col("label").alias("_label")).distinct())
     out = out.join(names, F.col("pos") == F.col("_label"), "left").withColumn("exact", F.col("_label").isNotNull())

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm.consistent import SUSPECT, consistent
 from lexiloom.operators.skew import lookup
+from lexiloom.session import checkpointed
 
 LETTERS = regex.compile(r"\p{L}+")
 HARD = regex.compile(SUSPECT)
@@ -156,8 +157,8 @@ def distinctive_terms(entries: DataFrame, min_tf: int = 1, min_records: int = 1,
     one join partition. Nulls count as empty; an empty table gives an empty result.
     """
     records = entry_record(entries, headword=True)
-    counts = term_counts(records)
-    # the counters are small beside the texts; the sum and the number of records are scalars
+    # the vocabulary, small beside the texts, is read three times: kept in the shared folder
+    counts = checkpointed(term_counts(records))
     total = counts.agg(F.sum("occurrences")).first()[0] or 0
     n = entries.count()
     stats = counts.filter((F.col("records") >= min_records) & (F.col("records") <= max_share * n))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.operators.skew import lookup
+from lexiloom.operators.skew import hot_rows, lookup
 
 TOKENIZER_DIR = "/opt/tokenizers"
 TOKENIZER = "byte_bpe_50k.json"
@@ -35,6 +35,8 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Bytes that a chunk has at least and at most; a cut is due about every ``1 << BITS``.
 SHORTEST, LONGEST, BITS = 96, 2048, 7
 WINDOW = 16
+#: Times that a chunk occurs, from which on its ids are broadcast instead of joined.
+HOT = 20_000
 #: Rows of one output batch.
 BATCH = 2_000
 
@@ -160,38 +162,45 @@ class Joiner:
         return [], None
 
 
-def _chunk_rows(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
-    """Per document its chunks: for each row ``row``, ``pos``, ``parts``, ``key``[, text]."""
-    out: list[list] = [[], [], [], [], []]
+def _refs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document its chunks' keys in their order."""
+    out: list[list] = [[], [], [], []]
 
     def flush() -> pa.RecordBatch:
-        cols = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())]
-        names = ["doc_id", "doc_key", "pos", "key"]
-        if with_text:
-            cols, names = [cols[3], pa.array(out[4], pa.string())], ["key", "chunk"]
+        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary())
+        b = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "doc_key", "pos", "key"])
         for c in out:
             c.clear()
-        return pa.RecordBatch.from_arrays(cols, names=names)
+        return b
 
     for batch in batches:
-        seen: set[bytes] = set()
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if not text:
-                continue
             whole = chunk_key(text)
             for pos, chunk in enumerate(chunks(text)):
-                key = chunk_key(chunk)
-                if with_text:
-                    if key in seen:
-                        continue
-                    seen.add(key)
-                for c, v in zip(out, (doc, whole, pos, key, chunk), strict=True):
+                for c, v in zip(out, (doc, whole, pos, chunk_key(chunk)), strict=True):
                     c.append(v)
             if len(out[0]) >= BATCH:
                 yield flush()
     yield flush()
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct chunks of each batch with their number."""
+    for batch in batches:
+        found: dict[bytes, list] = {}
+        for text in batch.column(1).to_pylist():
+            for chunk in chunks(text):
+                key = chunk_key(chunk)
+                if key in found:
+                    found[key][1] += 1
+                else:
+                    found[key] = [chunk, 1]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(found), pa.binary()), pa.array([c for c, _ in found.values()], pa.string()), pa.array([n for _, n in found.values()], pa.int64())],
+            names=["key", "chunk", "n"],
+        )
+
+
 def token_ids(documents: DataFrame, folder: str = TOKENIZER_DIR, name: str = TOKENIZER) -> DataFrame:
     """``(doc_id, ids)``: the ids of every text, without special tokens.
 
@@ -201,9 +210,8 @@ def token_ids(documents: DataFrame, folder: str = TOKENIZER_DIR, name: str = TOK
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     full = docs.filter(F.length("text") > 0)
-    refs = full.mapInArrow(lambda it: _chunk_rows(it, False), "doc_id long, doc_key binary, pos int, key binary")
-    texts = full.mapInArrow(lambda it: _chunk_rows(it, True), "key binary, chunk string")
-    distinct = texts.groupBy("key").agg(F.first("chunk").alias("chunk"), F.count("*").alias("n"))
+    refs = full.mapInArrow(_refs, "doc_id long, doc_key binary, pos int, key binary")
+    distinct = full.mapInArrow(_shared, "key binary, chunk string, n long").groupBy("key").agg(F.first("chunk").alias("chunk"), F.sum("n").alias("n"))
     encode = encoder(folder, name)
 
     def encode_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,8 +219,11 @@ def token_ids(documents: DataFrame, folder: str = TOKENIZER_DIR, name: str = TOK
             ids = encode(b.column("chunk").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("chunk"), b.column("n"), pa.array(ids, pa.list_(pa.int32()))], names=["key", "chunk", "n", "ids"])
 
-    encoded = distinct.mapInArrow(encode_chunks, "key binary, chunk string, n long, ids array<int>")
-    parts = lookup(refs, encoded, "key", ["chunk", "ids"], ["doc_id", "pos"], "n", how="inner")
+    kinds = "key binary, chunk string, n long, ids array<int>"
+    encoded = distinct.mapInArrow(encode_chunks, kinds)
+    # the hot chunks are picked before they are encoded, so that nothing else is encoded twice
+    hot = hot_rows(distinct, "n", HOT).mapInArrow(encode_chunks, kinds)
+    parts = lookup(refs, encoded, "key", ["chunk", "ids"], ["doc_id", "pos"], "n", how="inner", hot=hot)
     gathered = parts.groupBy("doc_id", "doc_key").agg(F.sort_array(F.collect_list(F.struct("pos", "chunk", "ids"))).alias("parts"))
 
     def join_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
