@@ -115,7 +115,7 @@ def reorder_sources(sources: DataFrame, move_id: int, by: int) -> DataFrame:
     return sources.sparkSession.createDataFrame(rows, sources.schema)
 
 
-def resolve(queries: DataFrame, entries: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+def resolve(queries: DataFrame, entries: DataFrame, sources: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
     """``(query_id, form, via_lemma, entry_id)``: the entries that stand for each query.
 
     The word itself if it has a gloss; else its first lemma that has one; else the word
@@ -125,7 +125,8 @@ def resolve(queries: DataFrame, entries: DataFrame, sources: DataFrame | None =
     forms = asked.select("query_id", F.posexplode(F.concat(F.array("norm"), lemma_candidates(F.col("norm")))).alias("rank", "form"))
     rows = entries.select("entry_id", "source_id", has_gloss(F.col("senses"), F.col("idioms")).alias("glossed"))
     rows = rows.withColumn("source_priority", F.lit(0)) if sources is None else apply_sources(rows, sources)
-    hits = forms.join(all_keys(entries).withColumnRenamed("key", "form"), "form").join(rows, "entry_id")
+    keys = all_keys(entries) if keys is None else keys
+    hits = forms.join(keys.withColumnRenamed("key", "form"), "form").join(rows, "entry_id")
     per_form = hits.groupBy("query_id", "rank", "form").agg(F.max("glossed").alias("any_gloss"), F.collect_list("entry_id").alias("ids"))
     usable = per_form.filter(F.col("any_gloss") | (F.col("rank") == 0))
     best = usable.groupBy("query_id").agg(F.min(F.struct((~F.col("any_gloss")).alias("bare"), "rank", "form", "ids")).alias("b"))

@@ -16,6 +16,7 @@ from lexiloom.functions.segment import tokens
 from lexiloom.functions.tables import FUNCTION_WORDS, OBJECT_PRONOUNS
 from lexiloom.functions.text import is_junk_gloss, lemma_candidates, normalize_headword
 from lexiloom.operators.dictionary import all_keys, phrase_candidates, phrase_starters, ranked_candidates, resolve
+from lexiloom.session import checkpointed
 
 LONGEST_PHRASE = 4
 FUNCTION_POS = "từ chức năng"
@@ -51,9 +52,9 @@ def _gathered(candidates: DataFrame, by: str, name: str) -> DataFrame:
     return candidates.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["c"]).alias(name))
 
 
-def candidates_by_form(forms: DataFrame, entries: DataFrame, sources: DataFrame | None) -> DataFrame:
+def candidates_by_form(forms: DataFrame, entries: DataFrame, sources: DataFrame | None, keys: DataFrame | None = None) -> DataFrame:
     """``(form, via_lemma, candidates)`` of distinct forms."""
-    got = resolve(forms.select(F.col("form").alias("query_id"), F.col("form").alias("query")), entries, sources)
+    got = checkpointed(resolve(forms.select(F.col("form").alias("query_id"), F.col("form").alias("query")), entries, sources, keys))
     full = got.select("query_id", "via_lemma", "entry_id").join(entries, "entry_id")
     ranked = ranked_candidates(full, ["query_id"], sources)
     lists = _gathered(ranked, "query_id", "candidates")
@@ -71,16 +72,17 @@ def likelihood_order(candidates: DataFrame, lexicon: DataFrame) -> DataFrame:
     return rows.join(scores, "id", "left").withColumn("likelihood", F.coalesce("likelihood", F.lit(0.0))).drop("id")
 
 
-def gloss_sentences(sentences: DataFrame, entries: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+def gloss_sentences(sentences: DataFrame, entries: DataFrame, sources: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
     """``(sentence_id, sentence, segments)`` of ``sentences`` = ``(sentence_id, sentence)``.
 
     Segments tile the sentence: PHRASE, WORD, UNKNOWN or PUNCT. A phrase whose glosses
     are all junk, or that has none, counts as no match. Function words that the dictionary
     has get their fixed translation first. Null sentences have no segments.
     """
-    keys = all_keys(entries)
-    words = _words(sentences)
-    matches = phrase_matches(words, keys)
+    # each of these is read several times below: computed once, kept in the shared folder
+    keys = checkpointed(all_keys(entries)) if keys is None else keys
+    words = checkpointed(_words(sentences))
+    matches = checkpointed(phrase_matches(words, keys))
     # phrases: glosses of the idioms so named, else those of the entries of that headword
     named = matches.select("key").distinct()
     mine = keys.join(named, "key", "left_semi").select("key", "entry_id")
@@ -92,7 +94,7 @@ def gloss_sentences(sentences: DataFrame, entries: DataFrame, sources: DataFrame
     phrases = _gathered(glosses.join(proper, "key", "left_semi"), "key", "candidates")
     spans = matches.join(phrases, "key").groupBy("sentence_id").agg(F.collect_list(F.struct("at", "n", "candidates")).alias("phrases"))
     forms = words.select(F.explode("words").alias("w")).select(F.col("w.norm").alias("form")).distinct()
-    known = candidates_by_form(forms, entries, sources)
+    known = candidates_by_form(forms, entries, sources, keys)
     per = words.select("sentence_id", F.posexplode("words").alias("at", "w")).select("sentence_id", "at", F.col("w.norm").alias("form")).join(known, "form")
     singles = per.groupBy("sentence_id").agg(F.collect_list(F.struct("at", "via_lemma", "candidates")).alias("singles"))
     joined = sentences.join(spans, "sentence_id", "left").join(singles, "sentence_id", "left").select("sentence_id", "sentence", tokens("sentence").alias("tokens"), "phrases", "singles")

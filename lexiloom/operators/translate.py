@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from lexiloom.functions.segment import sentences as sentences_udf
 from lexiloom.functions.tables import FUNCTION_WORDS, PAST_FORMS
 from lexiloom.functions.text import lemma_candidates
+from lexiloom.operators.dictionary import all_keys
 from lexiloom.operators.gloss import candidates_by_form, gloss_sentences
+from lexiloom.session import checkpointed
 
 NOUN, VERB, ADJ, ADV = "danh từ", "động từ", "tính từ", "phó từ"
 ADV_TOO = "trạng từ"
@@ -321,10 +323,12 @@ def translate_texts(texts: DataFrame, entries: DataFrame, sources: DataFrame | N
     """
     cut = texts.select("text_id", F.posexplode_outer(sentences_udf("text")).alias("no", "sentence"))
     cut = cut.withColumn("sentence_id", F.concat_ws(":", F.col("text_id").cast("string"), F.coalesce("no", F.lit(0)).cast("string")))
-    glossed = gloss_sentences(cut.filter(F.col("sentence").isNotNull()).select("sentence_id", "sentence"), entries, sources)
+    keys = checkpointed(all_keys(entries))
+    glossed = checkpointed(gloss_sentences(cut.filter(F.col("sentence").isNotNull()).select("sentence_id", "sentence"), entries, sources, keys))
     words = glossed.select("sentence_id", F.explode("segments").alias("s")).filter("s.kind in ('WORD', 'UNKNOWN')").select("sentence_id", F.lower("s.source").alias("word"))
-    forms = words.select("word").distinct().select("word", F.posexplode(F.concat(F.array("word"), lemma_candidates(F.col("word")))).alias("rank", "form"))
-    known = candidates_by_form(forms.select("form").distinct(), entries, sources)
+    forms = words.select("word").distinct()
+    forms = forms.select("word", F.posexplode(F.concat(F.array("word"), lemma_candidates(F.col("word")))).alias("rank", "form"))
+    known = candidates_by_form(forms.select("form").distinct(), entries, sources, keys)
     lists = forms.join(known, "form").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("rank", "via_lemma", "candidates"))).alias("lemmas"))
     per = words.distinct().join(lists, "word")
     likely = F.array().cast("array<struct<f:string,p:double>>")
