@@ -3,9 +3,10 @@
 Method. A rolling hash cuts texts into content-defined chunks, so that equal passages
 of different documents become equal chunks wherever they stand. Each distinct chunk is
 encoded once. The ids of a document are then put together from its chunks' ids, and
-every join is repaired: the pieces around it are encoded again, further and further,
-until the tokenizer's own cuts in the joined text agree with those in the next chunk.
-From such a cut on the chunk's ids are those of the whole text.
+every join is checked: where the two sides don't agree as they stand, it is repaired.
+The pieces around it are encoded again, further and further, until the tokenizer's own
+cuts in the joined text agree with those in the next chunk. From such a cut on the
+chunk's ids are those of the whole text.
 
 Why that is exact: the byte-level tokenizer first cuts a text into pieces from left to
 right, and merges never cross a piece. Whether a piece ends somewhere depends on at most
@@ -32,8 +33,9 @@ from lexiloom.operators.skew import hot_rows, lookup
 TOKENIZER_DIR = "/opt/tokenizers"
 TOKENIZER = "byte_bpe_50k.json"
 
-#: Bytes that a chunk has at least and at most; a cut is due about every ``1 << BITS``.
-SHORTEST, LONGEST, BITS = 96, 2048, 7
+#: Bytes that a chunk has at least and at most; of the clean places for a cut, one in
+#: ``1 << BITS`` is taken.
+SHORTEST, LONGEST, BITS = 96, 2048, 5
 WINDOW = 16
 #: Times that a chunk occurs, from which on its ids are broadcast instead of joined.
 HOT = 20_000
@@ -45,6 +47,10 @@ _SOLID = r"[^\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The byte-level tokenizer's pieces, with white space spelled out.
 PIECE = regex.compile(rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?{_SOLID}\p{{L}}\p{{N}}]+|{_SPACE}+(?!{_SOLID}])|{_SPACE}+")
 
+#: Bytes of which each is a visible character by itself.
+_INK = np.zeros(256, dtype=bool)
+_INK[0x21:0x7F] = True
+
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -67,7 +73,11 @@ def tokenizer(folder: str, name: str):
 
 
 def cuts(data: np.ndarray) -> np.ndarray:
-    """Where the rolling hash of the last ``WINDOW`` bytes asks for a cut (before a byte)."""
+    """Where the rolling hash of the last ``WINDOW`` bytes asks for a cut (before a byte).
+
+    Only places where the tokenizer itself cuts in any surroundings are asked for: before
+    a single space between two visible characters.
+    """
     if len(data) < WINDOW:
         return np.zeros(0, dtype=np.int64)
     gear = _GEAR[data]
@@ -76,8 +86,8 @@ def cuts(data: np.ndarray) -> np.ndarray:
     for k in range(WINDOW):  # the byte k before the last is shifted k times
         h += gear[WINDOW - 1 - k : WINDOW - 1 - k + n] << np.uint32(k)
     at = np.flatnonzero((h >> np.uint32(32 - BITS)) == 0) + WINDOW
-    at = at[at < len(data)]
-    return at[(data[at] & 0xC0) != 0x80]  # never inside a character
+    at = at[at < len(data) - 1]
+    return at[(data[at] == 0x20) & _INK[data[at - 1]] & _INK[data[at + 1]]]
 
 
 def chunks(text: str) -> list[str]:
@@ -99,6 +109,11 @@ def chunks(text: str) -> list[str]:
     return out
 
 
+def clean_join(before: str, after: str) -> bool:
+    """Whether the two sides agree on the cut between them as they stand."""
+    return after[0] == " " and "!" <= after[1:2] <= "~" and "!" <= before[-1] <= "~"
+
+
 def chunk_key(chunk: str) -> bytes:
     return xxhash.xxh3_128_digest(chunk.encode("utf-8", "surrogatepass"))
 
@@ -130,6 +145,17 @@ class Joiner:
 
     def join(self, parts: list[tuple[str, list[int]]]) -> list[int]:
         """The ids of the joined texts of ``parts`` = (text, its own ids)."""
+        out: list[int] = []
+        run = [parts[0]]
+        for part in parts[1:]:
+            if clean_join(run[-1][0], part[0]):
+                out += self._repair(run)
+                run = [part]
+            else:
+                run.append(part)
+        return out + self._repair(run)
+
+    def _repair(self, parts: list[tuple[str, list[int]]]) -> list[int]:
         if len(parts) == 1:
             return parts[0][1]
         out: list[int] = []
@@ -163,21 +189,22 @@ class Joiner:
 
 
 def _refs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document its chunks' keys in their order."""
-    out: list[list] = [[], [], [], []]
+    """Per document its chunks' keys in their order, and whether all joins are clean."""
+    out: list[list] = [[], [], [], [], []]
 
     def flush() -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary())
-        b = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "doc_key", "pos", "key"])
+        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.bool_())
+        b = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "doc_key", "pos", "key", "clean"])
         for c in out:
             c.clear()
         return b
 
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            whole = chunk_key(text)
-            for pos, chunk in enumerate(chunks(text)):
-                for c, v in zip(out, (doc, whole, pos, chunk_key(chunk)), strict=True):
+            whole, parts = chunk_key(text), chunks(text)
+            clean = all(map(clean_join, parts, parts[1:]))
+            for pos, chunk in enumerate(parts):
+                for c, v in zip(out, (doc, whole, pos, chunk_key(chunk), clean), strict=True):
                     c.append(v)
             if len(out[0]) >= BATCH:
                 yield flush()
@@ -210,7 +237,7 @@ def token_ids(documents: DataFrame, folder: str = TOKENIZER_DIR, name: str = TOK
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     full = docs.filter(F.length("text") > 0)
-    refs = full.mapInArrow(_refs, "doc_id long, doc_key binary, pos int, key binary")
+    refs = full.mapInArrow(_refs, "doc_id long, doc_key binary, pos int, key binary, clean boolean")
     distinct = full.mapInArrow(_shared, "key binary, chunk string, n long").groupBy("key").agg(F.first("chunk").alias("chunk"), F.sum("n").alias("n"))
     encode = encoder(folder, name)
 
@@ -224,7 +251,14 @@ def token_ids(documents: DataFrame, folder: str = TOKENIZER_DIR, name: str = TOK
     # the hot chunks are picked before they are encoded, so that nothing else is encoded twice
     hot = hot_rows(distinct, "n", HOT).mapInArrow(encode_chunks, kinds)
     parts = lookup(refs, encoded, "key", ["chunk", "ids"], ["doc_id", "pos"], "n", how="inner", hot=hot)
-    gathered = parts.groupBy("doc_id", "doc_key").agg(F.sort_array(F.collect_list(F.struct("pos", "chunk", "ids"))).alias("parts"))
+    # the chunk itself goes along only where a join must be repaired
+    part = F.struct("pos", F.when(~F.col("clean"), F.col("chunk")).alias("chunk"), "ids")
+    gathered = parts.groupBy("doc_id", "doc_key", "clean").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    # equal rows fell into one group: each place is there as often as the row
+    copies = F.size(F.filter("parts", lambda x: x["pos"] == 0))
+    once = F.filter("parts", lambda _, i: i % copies == 0)
+    whole = F.flatten(F.transform(once, lambda x: x["ids"]))
+    plain = gathered.filter("clean").select("doc_id", F.explode(F.array_repeat(whole, copies)).alias("ids"))
 
     def join_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joiner = Joiner(encode)
@@ -233,12 +267,12 @@ def token_ids(documents: DataFrame, folder: str = TOKENIZER_DIR, name: str = TOK
                 part = b.slice(i, 64)
                 keys, ids = [], []
                 for doc, rows in zip(part.column("doc_id").to_pylist(), part.column("parts").to_pylist(), strict=True):
-                    copies = sum(r["pos"] == 0 for r in rows)  # equal rows fell into one group
+                    copies = sum(r["pos"] == 0 for r in rows)
                     whole = joiner.join([(r["chunk"], r["ids"]) for r in rows[::copies]])
                     keys += [doc] * copies
                     ids += [whole] * copies
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    some = gathered.select("doc_id", "parts").mapInArrow(join_chunks, "doc_id long, ids array<int>")
+    repaired = gathered.filter(~F.col("clean")).select("doc_id", "parts").mapInArrow(join_chunks, "doc_id long, ids array<int>")
     none = docs.filter(F.coalesce(F.length("text"), F.lit(0)) == 0).select("doc_id", F.array().cast("array<int>").alias("ids"))
-    return some.unionByName(none)
+    return plain.unionByName(repaired).unionByName(none)
