@@ -6,12 +6,16 @@ translates is discounted by its surroundings: a definition ("word (part of speec
 quotation marks, a sentence beside its translation, code, words such as "is written" or
 "stands for" around a few places in an otherwise filled text.
 
-One JVM regular expression finds candidates; only those reach Python.
+A few cheap looks (line starts, delimiters, equal neighbours, a word list) decide which
+grammars a text meets at all.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections.abc import Iterator
+from operator import eq
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -132,8 +136,29 @@ LATIN = frozenset(
     "laboris commodo consequat velit velitas esse cillum fugiat nulla pariatur situr tetura".split()
 )
 
-_START = r"(?:^[-*=+•·#> \t]*+|(?<=[.!?…][ \t])|(?<=[.!?…][\"”)][ \t]))"
-MESSAGES = re.compile(_START + "(?:" + "|".join(f"(?:{p})" for p in (*ERRORS, *TRACES, *SCRIPTS, *FILLER)) + ")", re.IGNORECASE | re.MULTILINE)
+#: Where a line or sentence starts, behind its bullets.
+STARTS = re.compile(r"^[-*=+•·#> \t]*+|[.!?…][\"”)]?[ \t]", re.MULTILINE)
+_MESSAGE = re.compile("|".join(f"(?:{p})" for p in (*ERRORS, *TRACES, *SCRIPTS, *FILLER)), re.IGNORECASE | re.MULTILINE)
+_PLACE_STARTS = re.compile(r"[{$#<&\[@(%Xx_~:]")
+
+
+def messages(text: str) -> Iterator[re.Match]:
+    """The page's own sentences, each from where it starts."""
+    for start in STARTS.finditer(text):
+        if m := _MESSAGE.match(text, start.end()):
+            yield m
+
+
+def places(text: str) -> Iterator[re.Match]:
+    """The unfilled places in their order."""
+    at = 0
+    while start := _PLACE_STARTS.search(text, at):
+        m = PLACES.match(text, start.start())
+        if m:
+            yield m
+        at = m.end() if m else start.end()
+
+
 REPEAT = re.compile(r"(?<!\S)([^\W_]{1,8})(?:(?:[ \t]*\n[ \t]*|[ \t]+|[ \t]*[-–,.][ \t]*)\1(?![^\W_])){3,}", re.IGNORECASE)
 #: Keys of one row, struck at random: no words are made of them alone for that long.
 MASH = re.compile(r"^[-*=+•·#> \t]*+(?=[^\n]*[a-z]{5})[asdfghjkl; \t]{18,}$|^[-*=+•·#> \t]*+(?=[^\n]*[a-z]{5})[zxcvbnm,. \t]{18,}$", re.MULTILINE)
@@ -147,16 +172,8 @@ EXPLAINS = re.compile(
 )
 CODE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]+`|<(pre|code)>.*?</\1>", re.DOTALL)
 
-#: Texts that match none of this hold no residue; the JVM decides.
-CANDIDATE = (
-    rf"(?i){SUSPECT}|nội dung|content|"
-    r"[{}$@~\[\]]|%[\w(]|<[\w<%?]|&lt;|__|XXX|:[\p{L}\p{N}_.]+:|\(điền |\(chèn |[45]\d\d|went wrong|sorry|oops|hmm|uh-oh|unfortunately|"
-    r"xin lỗi|tiếc|ôi,|hiện tại|hiện nay|server|service|hệ thống|máy chủ|connect|too many|session|phiên|permission|quyền|denied|address|"
-    r"the page|không tìm thấy|không tồn tại|tồn tại trang|under |bảo trì|xây dựng|tạm ngừng|is down|not available|checking your|cookies|"
-    r"traceback|line \d|at [\w.$]+\(|exception|error|warning|fatal|script|\bjs\b|client-side|kịch bản|mã lệnh| here\b|"
-    r"coming soon|sắp |tbd|tba|todo|fixme|to do|to be |sample|replace|placeholder|dummy|filler|mẫu|thử|giả|đây|được cập nhật|bổ sung|biên soạn|"
-    r"active content|tập lệnh|nội dung động|[asdfghjkl; ]{18}|[zxcvbnm,. ]{18}|item \d|" + "|".join(sorted(LATIN - {"sed", "sit", "amet", "esse"})) + r"|(?<![^\s])([^\W_]{1,8})[\s,.–-]+\1(?=[\s,.–-]|$)"
-)
+_WORDS = re.compile("[a-z]+")
+_SEPARATORS = str.maketrans(dict.fromkeys("-–,.", " "))
 
 
 def _line(text: str, at: int) -> tuple[str, int]:
@@ -175,7 +192,7 @@ def _translated(line: str, start: int, end: int) -> bool:
     for m in re.finditer(r"(?<=[.!?\"”…])\s+[-–—=|+]\s+|\t|(?<=\w)\s+[-–—=|]\s+(?=\S[^\n]*[.!?]?$)", line):
         other = line[m.end() :] if m.start() >= end else line[: m.start()] if m.end() <= start else ""
         other = other.strip(" -*=+•")
-        if len(re.findall(r"[^\W\d_]+", other)) >= 2 and not PLACES.search(other):
+        if len(re.findall(r"[^\W\d_]+", other)) >= 2 and not any(places(other)):
             # the message itself may hold a dash ("HTTP 404 - Not Found")
             if not re.match(rf"{_STATUS}[.!]?$", other, re.IGNORECASE):
                 return True
@@ -186,15 +203,19 @@ def residue(text: str | None) -> str | None:
     """What kind of residue a text holds (``place``, ``message`` or ``filler``), or null."""
     if not text:
         return None
-    text = re.sub(r"\r\n?", "\n", consistent(text) if HARD.search(text) else text)
+    if HARD.search(text):
+        text = unicodedata.normalize("NFC", text)
+        text = consistent(text) if HARD.search(text) else text
+    text = re.sub(r"\r\n?", "\n", text)
     text = CODE.sub(lambda m: " " * len(m[0]), text)
-    for m in MESSAGES.finditer(text):
+    for m in messages(text):
         line, at = _line(text, m.start())
-        first = re.match(r"\s*", m[0]).end()
-        if DEFINITION.match(line) or _quoted(line, at + first) or _translated(line, at, at + len(m[0].split("\n")[0])):
+        if DEFINITION.match(line) or _quoted(line, at) or _translated(line, at, at + len(m[0].split("\n")[0])):
             continue
         return "message"
-    for m in REPEAT.finditer(text):
+    low = text.lower()
+    row = low.translate(_SEPARATORS).split()
+    for m in REPEAT.finditer(text) if any(map(eq, row, row[1:])) else ():
         word = m[1].lower()
         if word.isdigit() or len(word) > 5 and len(m[0]) < 8 * len(word):
             continue
@@ -203,16 +224,16 @@ def residue(text: str | None) -> str | None:
             return "filler"
     if MASH.search(text):
         return "filler"
-    for m in SENTENCE.finditer(text):
+    for m in () if LATIN.isdisjoint(_WORDS.findall(low)) else SENTENCE.finditer(text):
         words = re.findall(r"[^\W\d_]+", m[0].lower())
         if len(words) >= 4 and sum(w in LATIN for w in words) >= 0.6 * len(words):
             return "filler"
     weak = []
-    for m in PLACES.finditer(text):
+    for m in places(text):
         line, at = _line(text, m.start())
         if DEFINITION.match(line) or _quoted(line, at):
             continue
-        if EXPLAINS.search(line) and len(PLACES.findall(line)) <= 2 and len(line.split()) > 8:
+        if EXPLAINS.search(line) and sum(1 for _ in places(line)) <= 2 and len(line.split()) > 8:
             continue
         if _WEAK.search(m[0]) and not re.match(r"\[(?:todo|fixme|insert|chèn|điền|nhập|tbd)\b", m[0], re.IGNORECASE):
             weak.append(bool(_SLOT.search(text[max(0, m.start() - 12) : m.start()])))
@@ -235,11 +256,11 @@ def residue_texts(documents: DataFrame) -> DataFrame:
     Null and empty texts hold none. Repeated rows come out as often as they came in.
     Texts are read whole, whatever their length.
     """
-    some = documents.select("doc_id", "text").filter(F.col("text").rlike(CANDIDATE))
+    some = documents.select("doc_id", "text").filter(F.length("text") > 0)
     return some.select("doc_id", _residue_once("text").alias("kind")).filter(F.col("kind").isNotNull())
 
 
 def clean_texts(documents: DataFrame) -> DataFrame:
     """The documents without residue, all their columns kept."""
-    checked = documents.withColumn("_kind", _residue_once(F.when(F.col("text").rlike(CANDIDATE), F.col("text"))))
+    checked = documents.withColumn("_kind", _residue_once("text"))
     return checked.filter(F.col("_kind").isNull()).drop("_kind")
