@@ -9,6 +9,10 @@ from pyspark.sql.window import Window
 from lexiloom.functions.text import bm25, bm25_boost, bm25_idf, gloss_alternatives, remove_diacritics, split_tokens, trigrams, word_count
 
 
+#: Asked terms up to which they are looked for within a row instead of by a join.
+FEW_TERMS = 1_000
+
+
 def postings(docs: DataFrame) -> DataFrame:
     """``(term, doc_id, tf)`` of ``docs`` = ``(doc_id, tokens)``."""
     return docs.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
@@ -45,8 +49,13 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, b: float = 0.2) -> DataFram
     """
     n, average = corpus_stats(docs)
     asked = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("term"), F.size(F.array_distinct("tokens")).alias("asked"))
-    rows = docs.select("doc_id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))
-    hits = rows.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
+    few = [r["term"] for r in asked.select("term").distinct().limit(FEW_TERMS + 1).collect()]
+    if len(few) <= FEW_TERMS:  # picked within the row, before anything is exploded
+        rows = docs.select("doc_id", F.size("tokens").alias("doc_len"), F.explode(F.filter("tokens", lambda t: t.isin(few))).alias("term"))
+    else:
+        rows = docs.select("doc_id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))
+        rows = rows.join(asked.select("term").distinct(), "term", "left_semi")
+    hits = rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     scored = hits.join(df, "term").withColumn("s", bm25(bm25_idf(F.lit(float(n)), F.col("df")), F.col("tf"), F.col("doc_len"), F.lit(float(average)), b=b))
     return scored.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum("s").alias("score"), F.count("*").alias("matched"), F.max("asked").alias("asked"))
