@@ -15,14 +15,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexiloom.session import checkpointed
+
 #: Characters that can separate, wrap, escape or number values.
 SPECIAL = r",;/|·•\t\n\r\"'“”«»‘’()\[\]{}（）［］【】\\*\-–—.:=，；、／｜；"
+BLANK = r" \u00a0\u2000-\u200a\u202f\u205f\u3000"
 #: A token is a run of ordinary characters, digits, blanks, or one special character.
-TOKEN = rf"([\p{{N}}]+|[ \u00a0\u2000-\u200a\u202f\u205f\u3000]+|[{SPECIAL}]|[^{SPECIAL}\p{{N}} \u00a0\u2000-\u200a\u202f\u205f\u3000]+)"
+TOKEN = rf"([\p{{N}}]+|[{BLANK}]+|[{SPECIAL}]|[^{SPECIAL}\p{{N}}{BLANK}]+)"
 #: Fields without any of these hold one value at most.
 SEPARATES = r"[,;/|·•\t\n\r，；、／｜]|\d[.)]|\]\s*\[|(?:^|\s)[-*–—]\s"
 #: The commonest units with a slash or dot; a word between such signs is masked with its length.
-UNIT = r"^(?:km|m|cm|mm|dm|g|kg|mg|l|ml|h|s|min|ha|lít|giờ|phút|giây|đồng|usd|vnd|v|w|kw|hz|pa)$"
+UNIT = "km|m|cm|mm|dm|g|kg|mg|l|ml|h|s|min|ha|lít|giờ|phút|giây|đồng|usd|vnd|v|w|kw|hz|pa"
 
 #: Most skeletons whose rules are broadcast, and the longest of them.
 BROADCAST_RULES, BROADCAST_LENGTH = 50_000, 400
@@ -38,24 +41,17 @@ def tokens_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1))
 
 
-def skeleton_of(tokens: Column) -> Column:
+def skeleton_of(text: Column) -> Column:
     """One character per token: ``w`` word, ``u`` unit, ``9`` number, blank, or itself.
 
-    A long run of digits counts like a short one, except that a run of one or two digits
-    may number an item: it is ``1``, longer ones are ``9``.
+    A run of one or two digits may number an item: it is ``1``, longer ones are ``9``.
     """
-    return F.array_join(
-        F.transform(
-            tokens,
-            lambda t: F.when(t.rlike(r"^\p{N}{1,2}$"), "1")
-            .when(t.rlike(r"^\p{N}+$"), "9")
-            .when(t.rlike(r"^[ \u00a0\u2000-\u200a\u202f\u205f\u3000]+$"), " ")
-            .when(t.rlike(rf"^[{SPECIAL}]$"), t)
-            .when(F.lower(t).rlike(UNIT), "u")
-            .otherwise("w"),
-        ),
-        "",
-    )
+    word = rf"[^{SPECIAL}\p{{N}}{BLANK}]"
+    # stand-ins that are no text's own, so that what is masked isn't masked again
+    out = F.regexp_replace(text, rf"(?iu)(?<!{word})(?:{UNIT})(?!{word})", "\ufdd3")
+    out = F.regexp_replace(out, rf"[^{SPECIAL}\p{{N}}{BLANK}\ufdd3]+", "w")
+    out = F.regexp_replace(F.regexp_replace(out, r"\p{N}{3,}", "\ufdd4"), r"\p{N}{1,2}", "\ufdd5")
+    return F.translate(F.regexp_replace(out, rf"[{BLANK}]+", " "), "\ufdd3\ufdd4\ufdd5", "u91")
 
 
 def _matching(s: str) -> dict[int, int]:
@@ -226,17 +222,16 @@ def packed_values(fields: DataFrame, keys: list[str], column: str) -> DataFrame:
     Null and blank fields have no values and give no rows; a field without separators
     gives one. Repeated rows are kept. Fields of any length are split whole.
     """
-    masked = fields.filter(F.col(column).rlike(r"\S")).select(*keys, tokens_of(F.col(column)).alias("_tokens"))
-    masked = masked.withColumn("_skeleton", skeleton_of(F.col("_tokens")))
-    counts = masked.groupBy("_skeleton").agg(F.count("*").alias("_n"))
-    short = counts.filter((F.length("_skeleton") <= BROADCAST_LENGTH) & (F.col("_n") >= FREQUENT)).orderBy(F.col("_n").desc(), "_skeleton").limit(BROADCAST_RULES)
-    head = short.select("_skeleton", _rules("_skeleton").alias("_rule"))
-    known = masked.join(F.broadcast(head), "_skeleton", "left")
+    texts = fields.filter(F.col(column).rlike(r"\S")).select(*keys, F.col(column).alias("_text")).withColumn("_skeleton", skeleton_of(F.col("_text")))
+    # a row per distinct skeleton, few beside the fields: resolved once, kept in the shared folder
+    counts = texts.groupBy("_skeleton").agg(F.count("*").alias("_n"))
+    rules = checkpointed(counts.select("_skeleton", "_n", _rules("_skeleton").alias("_rule")))
+    short = rules.filter((F.length("_skeleton") <= BROADCAST_LENGTH) & (F.col("_n") >= FREQUENT)).orderBy(F.col("_n").desc(), "_skeleton").limit(BROADCAST_RULES)
+    head = F.broadcast(short.select("_skeleton", "_rule"))
     # what the broadcast doesn't know is rare by construction, so that no key is hot here
-    first = known.filter(F.col("_rule").isNotNull())
-    rest = known.filter(F.col("_rule").isNull()).drop("_rule")
-    tail = rest.groupBy("_skeleton").agg(F.count("*").alias("_n")).select("_skeleton", _rules("_skeleton").alias("_rule"))
-    both = first.select(*keys, "_tokens", "_rule").unionByName(rest.join(tail, "_skeleton").select(*keys, "_tokens", "_rule"))
+    rest = texts.join(head.select("_skeleton"), "_skeleton", "left_anti").join(rules.select("_skeleton", "_rule"), "_skeleton")
+    both = texts.join(head, "_skeleton").select(*keys, "_text", "_rule").unionByName(rest.select(*keys, "_text", "_rule"))
+    both = both.withColumn("_tokens", tokens_of(F.col("_text")))
     values = extract(F.col("_tokens"), F.col("_rule"))
     return both.select(*keys, F.size("_rule").alias("n_values"), F.posexplode(values).alias("value_pos", "value")).select(*keys, "value_pos", "value", "n_values")
 
