@@ -287,7 +287,7 @@ def lexicon_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def lexicon_score_gloss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = lexicon.top_translations(_lexicon(spark, sf_dir, 1))
+    table = lexicon.top_translations(_lexicon(spark, sf_dir, 4))
     senses = _table(spark, sf_dir, "entries").select("entry_id", "headword_norm", F.posexplode("senses").alias("sense_no", "s"))
     rows = senses.select("entry_id", "sense_no", "headword_norm", F.posexplode("s.glosses").alias("gloss_no", "gloss")).filter(F.col("gloss").isNotNull())
     scored = lexicon.score_glosses(rows.select(F.struct("entry_id", "sense_no", "gloss_no").alias("id"), F.col("headword_norm").alias("en"), "gloss"), table)
