@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.functions import segment, text
@@ -16,7 +16,9 @@ from lexiloom.sources.files import tsv_entries
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-#: What is searched for in the search queries: (id, Vietnamese or English text).
+#: Of the queries ``*_rows`` and ``reverse_search``: every row whose id is divisible by this asks.
+ASKS = 100
+#: What is searched for in the search queries that have SQL: (id, Vietnamese or English text).
 SEARCHES = ((1, "con mương"), (2, "cái cân"), (3, "đường ray"), (4, "bức tường dốc đứng"), (5, "rough path"))
 FUZZY = ((1, "gardenn"), (2, "whistel"), (3, "clumzy"), (4, "set upp"), (5, "wether"))
 MISSPELT = ((1, "con muong"), (2, "cai cann"), (3, "duong rayy"), (4, "ngon thap"), (5, "set"))
@@ -36,6 +38,29 @@ def _asked(spark: SparkSession, rows: tuple) -> DataFrame:
     return spark.createDataFrame(list(rows), "query_id int, query string")
 
 
+def _asking(spark: SparkSession, sf_dir: str, table: str, row_id: str, query: Column) -> DataFrame:
+    return _table(spark, sf_dir, table).filter(F.col(row_id) % ASKS == 0).select(F.col(row_id).alias("query_id"), query.alias("query"))
+
+
+def _asking_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _asking(spark, sf_dir, "documents", "doc_id", F.col("headword"))
+
+
+def _asking_headwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _asking(spark, sf_dir, "entries", "entry_id", F.col("headword"))
+
+
+def _asking_glosses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    glosses = F.flatten(F.transform("senses", lambda s: F.coalesce(s["glosses"], F.array().cast("array<string>"))))
+    return _asking(spark, sf_dir, "entries", "entry_id", F.get(F.filter(glosses, lambda g: g.isNotNull()), F.lit(0)))
+
+
+def _each(asked: DataFrame, ask: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Asks each distinct text once, for ``set`` alone is a tenth; all who ask it get its rows."""
+    found = ask(asked.select(F.col("query").alias("query_id"), "query").filter(F.col("query").isNotNull()).distinct()).withColumnRenamed("query_id", "_text")
+    return asked.withColumnRenamed("query", "_text").join(found, "_text").drop("_text")
+
+
 def _docs(spark: SparkSession, sf_dir: str, fold: bool = False) -> DataFrame:
     t = F.coalesce("text", F.lit(""))
     return _table(spark, sf_dir, "documents").select("doc_id", text.split_tokens(text.remove_diacritics(t) if fold else t).alias("tokens"))
@@ -81,8 +106,7 @@ def doc_length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.doc_lengths(_docs(spark, sf_dir)).agg(F.count("*").alias("docs"), F.round(F.avg("doc_len"), 6).alias("avg_len"), F.max("doc_len").alias("max_len"))
 
 
-def _bm25(spark: SparkSession, sf_dir: str, fold: bool) -> DataFrame:
-    asked = _asked(spark, SEARCHES)
+def _bm25(spark: SparkSession, sf_dir: str, asked: DataFrame, fold: bool) -> DataFrame:
     q = text.remove_diacritics(F.col("query")) if fold else F.col("query")
     scored = search.bm25_scores(_docs(spark, sf_dir, fold), asked.select("query_id", text.split_tokens(q).alias("tokens")))
     return search.top_per_query(scored.select("query_id", "doc_id", "score"), 10)
@@ -90,17 +114,27 @@ def _bm25(spark: SparkSession, sf_dir: str, fold: bool) -> DataFrame:
 
 @query
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bm25(spark, sf_dir, fold=False)
+    return _bm25(spark, sf_dir, _asked(spark, SEARCHES), fold=False)
 
 
 @query
 def bm25_accent_free_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bm25(spark, sf_dir, fold=True)
+    return _bm25(spark, sf_dir, _asked(spark, SEARCHES), fold=True)
+
+
+@query
+def bm25_search_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _each(_asking_documents(spark, sf_dir), lambda q: _bm25(spark, sf_dir, q, fold=False))
+
+
+@query
+def bm25_accent_free_search_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _each(_asking_documents(spark, sf_dir), lambda q: _bm25(spark, sf_dir, q, fold=True))
 
 
 @query
 def reverse_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search_vietnamese(_table(spark, sf_dir, "entries"), _asked(spark, SEARCHES[:4]), 10)
+    return _each(_asking_glosses(spark, sf_dir), lambda q: search.search_vietnamese(_table(spark, sf_dir, "entries"), q, 10))
 
 
 @query
@@ -135,6 +169,11 @@ def fuzzy_match_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.fuzzy_english(_table(spark, sf_dir, "entries"), _asked(spark, FUZZY), 10)
 
 
+@query
+def fuzzy_match_jaccard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _each(_asking_headwords(spark, sf_dir), lambda q: search.fuzzy_english(_table(spark, sf_dir, "entries"), q, 10))
+
+
 @query
 def compound_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.compounds(_table(spark, sf_dir, "entries"), 3)
@@ -145,6 +184,11 @@ def did_you_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.suggest(search.compounds(_table(spark, sf_dir, "entries"), 3), _asked(spark, MISSPELT), 5)
 
 
+@query
+def did_you_mean_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _each(_asking_glosses(spark, sf_dir), lambda q: search.suggest(search.compounds(_table(spark, sf_dir, "entries"), 3), q, 5))
+
+
 @query
 def compound_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = search.compounds(_table(spark, sf_dir, "entries"), 3)
@@ -162,11 +206,21 @@ def exact_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.lookup_first(_asked(spark, LOOKUPS), _table(spark, sf_dir, "entries"))
 
 
+@query
+def exact_lookup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _each(_asking_headwords(spark, sf_dir), lambda q: dictionary.lookup_first(q, _table(spark, sf_dir, "entries")))
+
+
 @query
 def homograph_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.lookup_all(_asked(spark, LOOKUPS), _table(spark, sf_dir, "entries")).select("query_id", "key", "entry_id")
 
 
+@query
+def homograph_lookup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _each(_asking_headwords(spark, sf_dir), lambda q: dictionary.lookup_all(q, _table(spark, sf_dir, "entries")).select("query_id", "key", "entry_id"))
+
+
 @query
 def key_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _table(spark, sf_dir, "lookup_history").select(text.normalize_headword(F.col("query")).alias("key")).distinct()

@@ -1,10 +1,12 @@
 import random
 import re
 from collections import Counter, defaultdict
-from math import sqrt
+from math import log, sqrt
 
 import pytest
+from pyspark.sql import functions as F
 
+from lexiloom.operators import dictionary, search
 from lexiloom.plans import queries
 
 ENGLISH = {"house": "nhà", "book": "sách", "cat": "mèo", "dog": "chó", "tree": "cây", "red": "đỏ"}
@@ -66,3 +68,59 @@ def test_scored_glosses_against_brute_force(spark, folder, entries_of):
     table = brute_translations(pairs, 4)
     wanted = {(i, s, g): x for i, (w, senses) in enumerate(rows, 1) for s, (_, glosses) in enumerate(senses) for g, text in enumerate(glosses) if text and (x := brute_score(w, text, table)) is not None}
     assert got.keys() == wanted.keys() and all(abs(got[k] - wanted[k]) < 1e-4 for k in wanted)
+
+
+def brute_bm25(docs, asked, b=0.2):
+    """{(query, doc): score} of all that share a term."""
+    n, average = len(docs), max(1.0, sum(map(len, docs.values())) / len(docs))
+    df = Counter(t for d in docs.values() for t in {*d})
+    idf = {t: log(1 + (n - x + 0.5) / (x + 0.5)) for t, x in df.items()}
+    return {(q, i): sum(idf[t] * d.count(t) * 2.2 / (d.count(t) + 1.2 * (1 - b + b * len(d) / average)) for t in {*terms} if t in d) for q, terms in asked.items() for i, d in docs.items() if {*terms} & {*d}}
+
+
+@pytest.mark.parametrize("few", [0, 2, 1000])
+def test_relevance_by_any_number_of_terms(spark, monkeypatch, few):
+    monkeypatch.setattr(search, "FEW_TERMS", few)
+    rng = random.Random(few)
+    docs = {i: rng.choices("abcdefgh", k=rng.randint(0, 12)) for i in range(60)}
+    asked = {i: rng.choices("abcdefghxyz", k=rng.randint(1, 5)) for i in range(20)}
+    got = {(r["query_id"], r["doc_id"]): r["score"] for r in search.bm25_scores(spark.createDataFrame(list(docs.items()), "doc_id int, tokens array<string>"), spark.createDataFrame(list(asked.items()), "query_id int, tokens array<string>")).collect()}
+    wanted = brute_bm25(docs, asked)
+    assert got.keys() == wanted.keys() and all(abs(got[k] - wanted[k]) < 1e-9 for k in wanted)
+
+
+def test_every_hundredth_row_asks(spark, folder, entries_of):
+    rng = random.Random(11)
+    words, syllables = ["set", "bank", "give up", "banks", None, "gift"], ["trông", "nom", "chăm", "sóc", "cho", "tặng"]
+    compounds = ["trông nom", "chăm sóc", "cho tặng", "chăm soc"]
+    texts = {i * 50: None if i % 9 == 0 else " ".join(rng.choices(["set", "bank", "give", "up", "gift", "a"], k=rng.randint(0, 8))) for i in range(1, 25)}
+    heads = {i: rng.choice(words) for i in texts}
+    rows = [(rng.choice(words[:4]), rng.choice([None, [("n", None)], [("n", [None, rng.choice([*compounds, "trông nomm" + rng.choice("abcdefgh")])]), ("v", [rng.choice(syllables)])]])) for _ in range(40)]
+    entries = entries_of(*rows).withColumn("entry_id", F.col("entry_id") * 50)
+    at = folder(entries=entries, documents=spark.createDataFrame([(i, t, heads[i]) for i, t in texts.items()], "doc_id long, text string, headword string"))
+
+    scores = brute_bm25({i: (t or "").split() for i, t in texts.items()}, {i: heads[i].split() for i in texts if i % 100 == 0 and heads[i]})
+    wanted = set()
+    for q in {q for q, _ in scores}:
+        wanted |= {(q, d, s, k) for k, (s, d) in enumerate(sorted(((round(s, 6), d) for (p, d), s in scores.items() if p == q), key=lambda x: (-x[0], x[1]))[:10], 1)}
+    found = {(r["query_id"], r["doc_id"], r["score"], r["rank"]) for r in queries.bm25_search_rows(spark, at).collect()}
+    assert {(q, d, k) for q, d, _, k in found} == {(q, d, k) for q, d, _, k in wanted} and found
+    assert queries.bm25_accent_free_search_rows(spark, at).count() == len(wanted)
+
+    ids = {i * 50: h for i, (h, _) in enumerate(rows, 1)}
+    same = {(a, b) for a, x in ids.items() if a % 100 == 0 for b, y in ids.items() if x == y}
+    assert {(r["query_id"], r["entry_id"]) for r in queries.homograph_lookup_rows(spark, at).collect()} == same
+    assert {(r["query_id"], r["entry_id"]) for r in queries.exact_lookup_rows(spark, at).collect()} == {(a, min(b for c, b in same if c == a)) for a, _ in same}
+    asked = {a: h for a, h in ids.items() if a % 100 == 0}
+    gloss = {i * 50: next((g for _, gs in s or () for g in gs or () if g), None) for i, (_, s) in enumerate(rows, 1) if i % 2 == 0}
+    gloss = {i: g for i, g in gloss.items() if g}
+    table = lambda d: spark.createDataFrame(list(d.items()), "query_id long, query string")
+    rowset = lambda df: sorted(map(tuple, df.select(*sorted(df.columns)).collect()))
+    # each row alone gives what all together give
+    for one, whole in (
+        (lambda q: search.fuzzy_english(entries, q, 10), queries.fuzzy_match_jaccard_rows),
+        (lambda q: search.suggest(search.compounds(entries, 3), q, 5), queries.did_you_mean_rows),
+        (lambda q: search.search_vietnamese(entries, q, 10), queries.reverse_search),
+    ):
+        assert rowset(whole(spark, at)) == rowset(one(table(asked if whole is queries.fuzzy_match_jaccard_rows else gloss))) != []
+    assert len(gloss) > 5
