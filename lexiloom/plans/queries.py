@@ -331,9 +331,15 @@ def em_iteration_1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def em_model1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of 0.01 and more, as the SQL has it; ``em_model1_whole`` has all."""
     return _lexicon(spark, sf_dir, 4).select("e", "f", F.round("t", 4).alias("t")).filter(F.col("t") >= 0.01)
 
 
+@query
+def em_model1_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lexicon(spark, sf_dir, 4).select("e", "f", F.round("t", 6).alias("t"))
+
+
 @query
 def lexicon_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.format_translations(lexicon.top_translations(_lexicon(spark, sf_dir, 4)))

@@ -24,8 +24,8 @@ def folder(spark, tmp_path):
     return make
 
 
-def brute_translations(pairs, iterations):
-    """IBM Model 1 over all lines, then the best 16 of each word of at least 0.005."""
+def brute_table(pairs, iterations):
+    """IBM Model 1 over all lines."""
     lines = [(["", *re.findall(r"[\w']+", en.lower())], re.findall(r"\w+", vi.lower())) for en, vi in pairs]
     t = defaultdict(lambda: 1.0)
     for _ in range(iterations):
@@ -39,8 +39,13 @@ def brute_translations(pairs, iterations):
         for (e, _f), x in c.items():
             total[e] += x
         t = {(e, f): x / total[e] for (e, f), x in c.items()}
+    return t
+
+
+def brute_translations(pairs, iterations):
+    """The best 16 of each word of at least 0.005."""
     out = defaultdict(dict)
-    for p, f, e in sorted((-round(p, 6), f, e) for (e, f), p in t.items()):
+    for p, f, e in sorted((-round(p, 6), f, e) for (e, f), p in brute_table(pairs, iterations).items()):
         if e and -p >= 0.005 and len(out[e]) < 16:
             out[e][f] = round(-p * 65535) / 65535
     return out
@@ -56,6 +61,15 @@ def brute_score(en, gloss, translations):
     return best
 
 
+def test_whole_table_keeps_unlikely_cells(spark, folder):
+    rng = random.Random(9)
+    pairs = [(" ".join(rng.choices("abcdefgh", k=3)), " ".join(rng.choices([f"v{i}" for i in range(150)], k=rng.randint(1, 20)))) for _ in range(40)]
+    at = folder(parallel_pairs=spark.createDataFrame([(i, *p) for i, p in enumerate(pairs, 1)], "line_no long, en string, vi string"))
+    got, wanted = {(r["e"], r["f"]): r["t"] for r in queries.em_model1_whole(spark, at).collect()}, brute_table(pairs, 4)
+    assert got.keys() == wanted.keys() and all(abs(got[k] - wanted[k]) < 2e-6 for k in wanted)
+    assert min(got.values()) < 0.01
+
+
 def test_scored_glosses_against_brute_force(spark, folder, entries_of):
     rng = random.Random(7)
     pairs = []
