@@ -7,7 +7,7 @@ Method. Each letter resolves to the set of scripts in which something that looks
 it exists. The sets are intersected over a word: a word that mixes scripts is respelled
 in the script that is left (the one that dominates the text if several are). A word
 wholly of one script is kept, even where each of its letters has a look-alike
-elsewhere; ``whole_script_confusable`` reports those. What remains is normalized:
+elsewhere; column ``confusable`` reports those. What remains is normalized:
 full-width and ligature forms, spaces, invisible characters, accents.
 
 Texts made of ordinary characters only (one JVM regular expression decides) never
@@ -146,6 +146,16 @@ def whole_script_confusable(word: str) -> bool:
     return len(own) == 1 and own != {"LATIN"} and all(c in LATIN for c in letters)
 
 
+def has_confusable(text: str) -> bool:
+    """Whether any word of a text is a whole-script confusable."""
+    return any(whole_script_confusable(m[0]) for m in WORD.finditer(text) if not m[0].isascii())
+
+
+@F.pandas_udf(T.BooleanType())
+def _confusable_udf(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t is not None and has_confusable(t)).astype(bool)
+
+
 @F.pandas_udf(T.StringType())
 def _consistent_udf(texts: pd.Series) -> pd.Series:
     return texts.map(consistent, na_action="ignore")
@@ -165,6 +175,10 @@ def consistent_form(text: Column) -> Column:
     return F.coalesce(_consistent_udf(F.when(suspect(text), text)), text)
 
 
+def _confusable(text: Column) -> Column:
+    return F.coalesce(_confusable_udf(F.when(suspect(text), text)), F.lit(False))
+
+
 def entry_texts(entries: DataFrame) -> DataFrame:
     """``headword``, ``senses.glosses`` and ``senses.examples.vi`` one row per text.
 
@@ -190,9 +204,12 @@ def entry_texts(entries: DataFrame) -> DataFrame:
 
 
 def consistent_texts(entries: DataFrame) -> DataFrame:
-    """All texts of ``entry_texts`` with their consistent form and whether it differs."""
+    """All texts of ``entry_texts`` with their consistent form and whether it differs.
+
+    ``confusable``: a word of that form is wholly of look-alikes of Latin letters.
+    """
     out = entry_texts(entries).withColumn("consistent", consistent_form(F.col("text")))
-    return out.withColumn("changed", F.col("text") != F.col("consistent"))
+    return out.withColumn("changed", F.col("text") != F.col("consistent")).withColumn("confusable", _confusable(F.col("consistent")))
 
 
 def inconsistent_texts(entries: DataFrame) -> DataFrame:
@@ -202,7 +219,7 @@ def inconsistent_texts(entries: DataFrame) -> DataFrame:
     Nulls, empty texts and empty tables give no rows; repeated rows are kept.
     """
     hard = entry_texts(entries).filter(suspect(F.col("text")))
-    return hard.withColumn("consistent", _consistent_once("text")).filter(F.col("text") != F.col("consistent"))
+    return hard.withColumn("consistent", _consistent_once("text")).filter(F.col("text") != F.col("consistent")).withColumn("confusable", _confusable(F.col("consistent")))
 
 
 def terms_of(text: Column) -> Column:

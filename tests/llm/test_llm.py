@@ -95,6 +95,15 @@ def test_inconsistent_texts(spark, entries_of):
     assert consistent.inconsistent_texts(e.limit(0)).count() == 0
 
 
+def test_whole_script_confusables_are_reported(spark, entries_of):
+    # Cyrillic look-alikes throughout; Russian; mixed, so respelled; both
+    e = entries_of(("сор", [("n", ["сосна", "сeт", "ok", "сeт сор"])]), (None, None))
+    got = {(r["field"], r["item_no"]): (r["consistent"], r["changed"], r["confusable"]) for r in consistent.consistent_texts(e).collect()}
+    assert got == {("headword", -1): ("сор", False, True), ("gloss", 0): ("сосна", False, False), ("gloss", 1): (got["gloss", 1][0], True, False), ("gloss", 2): ("ok", False, False), ("gloss", 3): (got["gloss", 3][0], True, True)}
+    assert {(r["item_no"], r["confusable"]) for r in consistent.inconsistent_texts(e).collect()} == {(1, False), (3, True)}
+    assert consistent.consistent_texts(e.limit(0)).count() == 0
+
+
 # 7
 def reference_ids(texts):
     return tokens.encoder(tokens.TOKENIZER_DIR, tokens.TOKENIZER)(texts)
