@@ -14,8 +14,6 @@ from pyspark.sql.window import Window
 from lexiloom.functions.text import collapse_spaces, is_junk_gloss, lemma_candidates, normalize_headword, word_count
 
 NO_PRIORITY = 2_147_483_647
-#: Most rows of a source catalogue; it is broadcast.
-MAX_SOURCES = 10_000
 
 
 def entry_order(prefix: str = "") -> Column:
@@ -93,9 +91,9 @@ def apply_sources(rows: DataFrame, sources: DataFrame) -> DataFrame:
     Sources that the catalogue doesn't know count as enabled and come last. If all are
     disabled, all rows pass and no source comes first.
     """
-    small = sources.select(F.col("id").alias("_id"), (F.col("enabled") == 1).alias("_enabled"), F.col("priority").alias("_priority")).limit(MAX_SOURCES)
+    small = sources.select(F.col("id").alias("_id"), (F.col("enabled") == 1).alias("_enabled"), F.col("priority").alias("_priority"))
     any_on = small.agg(F.coalesce(F.max("_enabled"), F.lit(False)).alias("on")).first()["on"]
-    joined = rows.join(F.broadcast(small), F.col("source_id") == F.col("_id"), "left")
+    joined = rows.join(small, F.col("source_id") == F.col("_id"), "left")
     if not any_on:
         return joined.withColumn("source_priority", F.lit(0)).drop("_id", "_enabled", "_priority")
     return joined.filter(F.coalesce("_enabled", F.lit(True))).withColumn("source_priority", F.coalesce("_priority", F.lit(NO_PRIORITY))).drop("_id", "_enabled", "_priority")
@@ -106,7 +104,7 @@ def reorder_sources(sources: DataFrame, move_id: int, by: int) -> DataFrame:
 
     The catalogue is a short list and is handled on the driver.
     """
-    rows = [r.asDict() for r in source_catalog(sources).limit(MAX_SOURCES).collect()]
+    rows = [r.asDict() for r in source_catalog(sources).collect()]
     at = next((i for i, r in enumerate(rows) if r["id"] == move_id), None)
     if at is not None and 0 <= at + by < len(rows):
         rows.insert(at + by, rows.pop(at))

@@ -338,7 +338,7 @@ def translate_texts(texts: DataFrame, entries: DataFrame, sources: DataFrame | N
     else:
         per = per.withColumn("prior", likely)
     gathered = per.groupBy("sentence_id").agg(F.collect_list(F.struct("word", "lemmas", "prior")).alias("words"))
-    order = {r["id"]: r["priority"] for r in sources.limit(10_000).collect()} if sources is not None else {}
+    order = {r["id"]: r["priority"] for r in sources.select("id", "priority").collect()} if sources is not None else {}
     rows = glossed.join(gathered, "sentence_id", "left").select("sentence_id", "segments", "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

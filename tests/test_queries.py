@@ -138,3 +138,13 @@ def test_every_hundredth_row_asks(spark, folder, entries_of):
     ):
         assert rowset(whole(spark, at)) == rowset(one(table(asked if whole is queries.fuzzy_match_jaccard_rows else gloss))) != []
     assert len(gloss) > 5
+
+
+def test_long_catalogues_are_used_whole(spark):
+    n = 10_050
+    sources = spark.createDataFrame([(i, int(i < n - 1), i) for i in range(n)], "id int, enabled int, priority int").coalesce(1)
+    rows = spark.createDataFrame([(i,) for i in (0, n - 2, n - 1, n)], "source_id int")
+    got = {r["source_id"]: r["source_priority"] for r in dictionary.apply_sources(rows, sources).collect()}
+    assert got == {0: 0, n - 2: n - 2, n: dictionary.NO_PRIORITY}
+    moved = {r["id"]: r["priority"] for r in dictionary.reorder_sources(sources, n - 1, -1).collect()}
+    assert len(moved) == n and moved[n - 1] == n - 2 and moved[n - 2] == n - 1
