@@ -12,15 +12,21 @@ bucket is ever ordered in one task, however large its source is.
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lexiloom.llm.tokens import TOKENIZER, TOKENIZER_DIR, token_ids
+from lexiloom.llm.tokens import TOKENIZER, TOKENIZER_DIR, token_counts
+from lexiloom.session import checkpointed
 
-#: Documents of one bucket of the prefix sum, about.
+#: Documents of one bucket of the prefix sum, about; more where a source is so large that
+#: its buckets' totals would be more than the rows of a bucket.
 BUCKET = 20_000
+#: Most rows of the list of targets, which is read to the driver.
+MOST_SOURCES = 100_000
 
 Schedule = list[tuple[float, float]]
 
@@ -86,15 +92,9 @@ def demands(supply: dict[str, int], targets: list[tuple[str, float, int]], total
     return out
 
 
-def token_counts(documents: DataFrame, folder: str = TOKENIZER_DIR, name: str = TOKENIZER) -> DataFrame:
-    """``(doc_id, n_tokens)`` by the chunk-wise encoder."""
-    return token_ids(documents, folder, name).select("doc_id", F.size("ids").cast("long").alias("n_tokens"))
-
-
 def sized_documents(documents: DataFrame, folder: str = TOKENIZER_DIR, name: str = TOKENIZER) -> DataFrame:
-    """``(doc_id, source, n_tokens)``. Repeated ``doc_id`` count by their largest size."""
-    sizes = token_counts(documents, folder, name).groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"))
-    return documents.select("doc_id", "source").join(sizes, "doc_id")
+    """``(doc_id, source, n_tokens)`` of every row; only the numbers leave the encoder."""
+    return token_counts(documents, ["doc_id", "source"], folder, name)
 
 
 def mix(sized: DataFrame, targets: DataFrame, total: float | None = None, schedules: dict[str, Schedule] | None = None) -> DataFrame:
@@ -105,9 +105,12 @@ def mix(sized: DataFrame, targets: DataFrame, total: float | None = None, schedu
     0..1, ``due_tokens`` the source's tokens before the document. Sources without target
     or without tokens, documents without source and those without tokens have no part.
     ``targets`` is a small list (one row per source) and is read to the driver, as are
-    the per-source sums. A source named twice in ``targets`` is an error.
+    its sources' sums; more than ``MOST_SOURCES`` rows are an error. So is a source that
+    is named twice.
     """
-    rows = [(r["source"], float(r["target_share"] or 0.0), int(r["max_repeats"] or 1)) for r in targets.select("source", "target_share", "max_repeats").collect()]
+    rows = [(r["source"], float(r["target_share"] or 0.0), int(r["max_repeats"] or 1)) for r in targets.select("source", "target_share", "max_repeats").limit(MOST_SOURCES + 1).collect()]
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} targets")
     if len({s for s, _, _ in rows}) < len(rows):
         raise ValueError("a source has two targets")
     names = F.broadcast(sized.sparkSession.createDataFrame([(s,) for s, _, _ in rows], "source string")) if rows else None
@@ -118,7 +121,7 @@ def mix(sized: DataFrame, targets: DataFrame, total: float | None = None, schedu
     take = demands({s: t for s, (t, _) in sums.items()}, rows, total)
     shares = {s: w for s, w, _ in rows}
     plan_rows = [
-        (s, float(take[s]), int(sums[s][0]), max(1, -(-int(sums[s][1]) // BUCKET)), [dict(zip(("t0", "t1", "w0", "w1", "done"), g, strict=True)) for g in integrate((schedules or {}).get(s) or default_schedule(shares[s]))])
+        (s, float(take[s]), int(sums[s][0]), max(1, -(-int(sums[s][1]) // max(BUCKET, isqrt(int(sums[s][1]))))), [dict(zip(("t0", "t1", "w0", "w1", "done"), g, strict=True)) for g in integrate((schedules or {}).get(s) or default_schedule(shares[s]))])
         for s in take
     ]
     segment = T.StructType([T.StructField(c, T.DoubleType()) for c in ("t0", "t1", "w0", "w1", "done")])
@@ -143,10 +146,9 @@ def mix(sized: DataFrame, targets: DataFrame, total: float | None = None, schedu
 
 def mix_report(mixed: DataFrame, sized: DataFrame, targets: DataFrame) -> DataFrame:
     """Per source of either side: target and actual share, tokens, documents, most copies."""
-    got = mixed.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"), (F.max("copy_no") + 1).alias("most_copies"))
+    got = checkpointed(mixed.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"), (F.max("copy_no") + 1).alias("most_copies")))
     supply = sized.groupBy("source").agg(F.sum("n_tokens").alias("supply"), F.count("*").alias("documents"))
-    # one row per source: a few rows on either side, the whole sum is over those
-    whole = Window.partitionBy()
+    whole = got.agg(F.sum("tokens")).first()[0] or 1
     both = targets.select("source", "target_share", "max_repeats").join(supply, "source", "full").join(got, "source", "left")
     tokens = F.coalesce("tokens", F.lit(0))
     return both.select(
@@ -158,5 +160,5 @@ def mix_report(mixed: DataFrame, sized: DataFrame, targets: DataFrame) -> DataFr
         tokens.alias("mixed_tokens"),
         F.coalesce("rows", F.lit(0)).alias("mixed_rows"),
         F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
-        F.round(tokens / F.greatest(F.sum(tokens).over(whole), F.lit(1)), 6).alias("actual_share"),
+        F.round(tokens / F.lit(whole), 6).alias("actual_share"),
     )

@@ -121,7 +121,8 @@ def test_joins_are_exact_at_any_cut():
             j = i + rng.randint(1, 9)
             parts.append(text[i:j])
             i = j
-        assert joiner.join(list(zip(parts, encode(parts), strict=True))) == encode([text])[0]
+        whole = encode([text])[0]
+        assert joiner.join(list(zip(parts, encode(parts), strict=True))) == whole == joiner.whole(text)
 
 
 def test_chunks_are_content_defined():
@@ -137,12 +138,26 @@ def test_token_ids(spark):
     shared = "".join(rng.choices("xyz áê ", k=3000))
     texts = [None, "", " ", "a", shared, shared + "!", "é" * 30_000, "<|endoftext|> x", shared]
     df = spark.createDataFrame([*enumerate(texts), (4, shared), (4, "other")], "doc_id long, text string").withColumn("key", F.lit("clash"))
+    assert len(tokens.shared_chunks(df.select("text").filter("length(text) > 0"), tokens.TOKENIZER_DIR, tokens.TOKENIZER)) > 5
+    small = sorted((r["doc_id"], list(r["ids"])) for r in tokens.token_ids(df, table=1000).collect())
     got = sorted((r["doc_id"], list(r["ids"])) for r in tokens.token_ids(df).collect())
     want = sorted([*((i, reference_ids([t])[0] if t else []) for i, t in enumerate(texts)), (4, reference_ids([shared])[0]), (4, reference_ids(["other"])[0])])
-    assert got == want
+    assert got == want == small  # whatever has room in the table
+    sizes = tokens.token_counts(df.withColumn("ids", F.lit("clash")), ["doc_id", "ids"])
+    assert sorted(map(tuple, sizes.select("doc_id", "n_tokens").collect())) == sorted((i, len(x)) for i, x in want)
     assert tokens.token_ids(df.limit(0)).count() == 0
 
 
+def test_chunks_are_taken_from_slices_and_don_t_see_their_neighbours():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abc déf xy", k=rng.choice([0, 5, 300, 4000]))) for _ in range(40)] + [None, ""]
+    alone = [tokens.column_chunks(pa.array([t]))[0] for t in texts]
+    assert tokens.column_chunks(pa.array(texts)) == alone and tokens.column_chunks(pa.array(texts).slice(3, 9)) == alone[3:12]
+    assert [b"".join(c).decode() for c in alone] == [t or "" for t in texts] and tokens.column_chunks(pa.array([], pa.string())) == []
+
+
 # 8
 def test_mix(spark):
     rng = random.Random(7)
