@@ -11,7 +11,7 @@ from lexiloom.llm.canonical import sense_labels
 from lexiloom.llm.consistent import inconsistent_texts
 from lexiloom.llm.mix import mix, mix_report, sized_documents
 from lexiloom.llm.residue import residue_texts
-from lexiloom.llm.terms import distinctive_terms, gloss_term_counts
+from lexiloom.llm.terms import CRITICAL, distinctive_terms, gloss_term_counts
 from lexiloom.llm.tokens import token_ids
 from lexiloom.session import checkpointed
 
@@ -36,7 +36,8 @@ def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distinctive_terms(_table(spark, sf_dir, "entries"), min_tf=3, min_records=2, max_share=0.02).select("entry_id", "term")
+    found = distinctive_terms(_table(spark, sf_dir, "entries"), min_tf=3, min_records=2, max_share=0.02, min_score=CRITICAL)
+    return found.select("entry_id", "term")
 
 
 def p5_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,10 @@ HARD = regex.compile(SUSPECT)
 COUNTERS = 400_000
 #: Rows of one output batch.
 BATCH = 20_000
+#: From this log-likelihood ratio on a term is characteristic: the critical value of the
+#: chi-squared distribution of one degree of freedom at 0.001, which the ratio follows
+#: where the record is drawn like the rest.
+CRITICAL = 10.828
 
 
 def terms(text: str) -> list[str]:
@@ -148,12 +152,12 @@ def log_likelihood(tf: Column, record_terms_: Column, occurrences: Column, total
     return F.when(tf * total >= record_terms_ * occurrences, g).otherwise(-g)
 
 
-def distinctive_terms(entries: DataFrame, min_tf: int = 1, min_records: int = 1, max_share: float = 1.0) -> DataFrame:
+def distinctive_terms(entries: DataFrame, min_tf: int = 1, min_records: int = 1, max_share: float = 1.0, min_score: float | None = None) -> DataFrame:
     """Each entry's terms of headword and glosses, scored against all entries.
 
-    ``(entry_id, term, tf, records, occurrences, score)``. ``min_tf`` is applied where
-    the terms are counted, so that only candidates are shuffled; the statistics are of
-    all entries and all terms. Very common terms meet a bounded broadcast instead of
+    ``(entry_id, term, tf, records, occurrences, score)``, where ``min_score`` is given
+    only those that score as much. ``min_tf`` is applied where the terms are counted, so
+    that only candidates are shuffled; the statistics are of all entries and all terms. Very common terms meet a bounded broadcast instead of
     one join partition. Nulls count as empty; an empty table gives an empty result.
     """
     records = entry_record(entries, headword=True)
@@ -165,4 +169,5 @@ def distinctive_terms(entries: DataFrame, min_tf: int = 1, min_records: int = 1,
     found = record_terms(records, min_tf)
     joined = lookup(found, stats, "term", ["occurrences", "records"], ["entry_id", "term"], "records", how="inner")
     score = log_likelihood(F.col("tf"), F.col("record_terms"), F.col("occurrences"), F.lit(float(total)))
-    return joined.select("entry_id", "term", "tf", "records", "occurrences", score.alias("score"))
+    out = joined.select("entry_id", "term", "tf", "records", "occurrences", score.alias("score"))
+    return out if min_score is None else out.filter(F.col("score") >= min_score)

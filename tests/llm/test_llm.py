@@ -60,9 +60,19 @@ def test_counters_and_scores_against_brute_force(spark, entry_rows, entry_schema
         k21, k22 = len(d) - k11, total - len(d) - k12
         g = sum(2 * k * log(k * total / (a * b)) for k, a, b in ((k11, k11 + k21, k11 + k12), (k12, k12 + k22, k11 + k12), (k21, k11 + k21, k21 + k22), (k22, k12 + k22, k21 + k22)) if k)
         assert r["tf"] == d.count(r["term"]) and r["records"] == df[r["term"]] and abs(abs(r["score"]) - g) < 1e-6
+    scored = terms.distinctive_terms(e)
+    assert {(r["entry_id"], r["term"]) for r in terms.distinctive_terms(e, min_score=3.0).collect()} == {(r["entry_id"], r["term"]) for r in scored.filter("score >= 3").collect()} != set()
     assert terms.gloss_term_counts(e.limit(0)).count() == 0 and terms.distinctive_terms(e.limit(0)).count() == 0
 
 
+def test_terms_that_an_entry_dwells_on_are_found_by_the_ratio(spark, entries_of):
+    rows = [("w" + "abcdefghij"[i % 10], [("n", ["trâu trâu trâu" if i in (3, 90) else "bò ngựa"])]) for i in range(120)]
+    e = entries_of(*rows)
+    found = terms.distinctive_terms(e, min_tf=3, min_records=2, max_share=0.02, min_score=terms.CRITICAL)
+    assert {(r["entry_id"], r["term"]) for r in found.collect()} == {(4, "trâu"), (91, "trâu")}
+    assert "LOG(" in found._jdf.queryExecution().optimizedPlan().toString().upper()
+
+
 def test_counters_flush_between_records(monkeypatch):
     import pyarrow as pa
 
