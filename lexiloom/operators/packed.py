@@ -1,34 +1,42 @@
 """Several values packed in one field, split into one value per row.
 
-A field's *skeleton* is its text with every run of ordinary characters masked. Fields
-that are packed alike share a skeleton, so how to split is resolved once per distinct
-skeleton. The frequent skeletons' rules are broadcast (a bounded number of bounded
-size), the rest is joined by skeleton; the values are then taken by position.
+A field's *skeleton* is its text with every run of words masked, blanks between them
+included. Fields that are packed alike share a skeleton, so how to split is resolved once
+per distinct skeleton. The frequent skeletons' rules are broadcast (a bounded number of
+bounded size); a field of another skeleton has its rule resolved where it stands, once
+per worker. So no field is ever shuffled, however often its skeleton occurs. The values
+are then taken by position.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiloom.session import checkpointed
+from lexiloom.session import checkpointed, spread
 
 #: Characters that can separate, wrap, escape or number values.
 SPECIAL = r",;/|·•\t\n\r\"'“”«»‘’()\[\]{}（）［］【】\\*\-–—.:=，；、／｜；"
 BLANK = r" \u00a0\u2000-\u200a\u202f\u205f\u3000"
-#: A token is a run of ordinary characters, digits, blanks, or one special character.
-TOKEN = rf"([\p{{N}}]+|[{BLANK}]+|[{SPECIAL}]|[^{SPECIAL}\p{{N}}{BLANK}]+)"
+_WORD = rf"[^{SPECIAL}\p{{N}}{BLANK}]"
 #: Fields without any of these hold one value at most.
 SEPARATES = r"[,;/|·•\t\n\r，；、／｜]|\d[.)]|\]\s*\[|(?:^|\s)[-*–—]\s"
-#: The commonest units with a slash or dot; a word between such signs is masked with its length.
+#: The commonest units. One beside a slash is a token of its own.
 UNIT = "km|m|cm|mm|dm|g|kg|mg|l|ml|h|s|min|ha|lít|giờ|phút|giây|đồng|usd|vnd|v|w|kw|hz|pa"
-
-#: Most skeletons whose rules are broadcast, and the longest of them.
-BROADCAST_RULES, BROADCAST_LENGTH = 50_000, 400
+_SLASH = "[/／]"
+_UNIT = rf"(?iu:(?<!{_WORD})(?:{UNIT})(?={_SLASH})|(?<={_SLASH})(?:{UNIT})(?!{_WORD}))"
+#: A token is a unit beside a slash, a run of words, digits or blanks, or one special character.
+TOKEN = rf"([\p{{N}}]+|[{BLANK}]+|[{SPECIAL}]|{_WORD}+(?:[{BLANK}]+{_WORD}+)*)"
+_TOKEN_BY_SLASH = rf"({_UNIT}|[\p{{N}}]+|[{BLANK}]+|[{SPECIAL}]|{_WORD}+(?:[{BLANK}]+(?!{_UNIT}){_WORD}+)*)"
+
+#: Most skeletons whose rules are broadcast, and the longest of them: a skeleton has at most
+#: half as many values as characters, so that the broadcast stays under 64 MB.
+BROADCAST_RULES, BROADCAST_LENGTH = 20_000, 200
 #: Rows that a skeleton has at least to be broadcast.
 FREQUENT = 4
 
@@ -38,18 +46,20 @@ HARD = set(";|·•\t\n\r；｜、,，/／")
 
 
 def tokens_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1))
+    some = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    return F.when(text.rlike(_SLASH), some(_TOKEN_BY_SLASH)).otherwise(some(TOKEN))
 
 
 def skeleton_of(text: Column) -> Column:
-    """One character per token: ``w`` word, ``u`` unit, ``9`` number, blank, or itself.
+    """One character per token: ``w`` words, ``u`` unit, ``9`` number, blank, or itself.
 
     A run of one or two digits may number an item: it is ``1``, longer ones are ``9``.
     """
-    word = rf"[^{SPECIAL}\p{{N}}{BLANK}]"
     # stand-ins that are no text's own, so that what is masked isn't masked again
-    out = F.regexp_replace(text, rf"(?iu)(?<!{word})(?:{UNIT})(?!{word})", "\ufdd3")
-    out = F.regexp_replace(out, rf"[^{SPECIAL}\p{{N}}{BLANK}\ufdd3]+", "w")
+    out = F.translate(text, "\ufdd3\ufdd4\ufdd5", "\ufdd6\ufdd6\ufdd6")
+    out = F.when(text.rlike(_SLASH), F.regexp_replace(out, _UNIT, "\ufdd3")).otherwise(out)
+    word = rf"[^{SPECIAL}\p{{N}}{BLANK}\ufdd3]+"
+    out = F.regexp_replace(out, rf"{word}(?:[{BLANK}]+{word})*", "w")
     out = F.regexp_replace(F.regexp_replace(out, r"\p{N}{3,}", "\ufdd4"), r"\p{N}{1,2}", "\ufdd5")
     return F.translate(F.regexp_replace(out, rf"[{BLANK}]+", " "), "\ufdd3\ufdd4\ufdd5", "u91")
 
@@ -201,9 +211,14 @@ def _value(s: str, a: int, b: int, matching: dict[int, int]) -> tuple[int, int,
 _RULE = T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()), T.StructField("how", T.StringType())]))
 
 
+@lru_cache(maxsize=50_000)
+def _rule(skeleton: str) -> list[dict]:
+    return [{"a": a, "b": b, "how": h} for a, b, h in resolve(skeleton)]
+
+
 @F.pandas_udf(_RULE)
 def _rules(skeletons: pd.Series) -> pd.Series:
-    return skeletons.map(lambda s: [{"a": a, "b": b, "how": h} for a, b, h in resolve(s)])
+    return skeletons.map(_rule, na_action="ignore").astype(object)
 
 
 def extract(tokens: Column, rule: Column) -> Column:
@@ -222,16 +237,15 @@ def packed_values(fields: DataFrame, keys: list[str], column: str) -> DataFrame:
     Null and blank fields have no values and give no rows; a field without separators
     gives one. Repeated rows are kept. Fields of any length are split whole.
     """
-    texts = fields.filter(F.col(column).rlike(r"\S")).select(*keys, F.col(column).alias("_text")).withColumn("_skeleton", skeleton_of(F.col("_text")))
-    # a row per distinct skeleton, few beside the fields: resolved once, kept in the shared folder
-    counts = texts.groupBy("_skeleton").agg(F.count("*").alias("_n"))
-    rules = checkpointed(counts.select("_skeleton", "_n", _rules("_skeleton").alias("_rule")))
-    short = rules.filter((F.length("_skeleton") <= BROADCAST_LENGTH) & (F.col("_n") >= FREQUENT)).orderBy(F.col("_n").desc(), "_skeleton").limit(BROADCAST_RULES)
-    head = F.broadcast(short.select("_skeleton", "_rule"))
-    # what the broadcast doesn't know is rare by construction, so that no key is hot here
-    rest = texts.join(head.select("_skeleton"), "_skeleton", "left_anti").join(rules.select("_skeleton", "_rule"), "_skeleton")
-    both = texts.join(head, "_skeleton").select(*keys, "_text", "_rule").unionByName(rest.select(*keys, "_text", "_rule"))
-    both = both.withColumn("_tokens", tokens_of(F.col("_text")))
+    texts = spread(fields).filter(F.col(column).rlike(r"\S")).select(*keys, F.col(column).alias("_text")).withColumn("_skeleton", skeleton_of(F.col("_text")))
+    short = texts.filter(F.length("_skeleton") <= BROADCAST_LENGTH)
+    often = short.groupBy("_skeleton").agg(F.count("*").alias("_n")).filter(F.col("_n") >= FREQUENT).orderBy(F.col("_n").desc(), "_skeleton").limit(BROADCAST_RULES)
+    # a bounded number of rows, resolved once and kept in the shared folder
+    rules = checkpointed(often.select(F.col("_skeleton").alias("_known"), _rules("_skeleton").alias("_common")))
+    both = texts.join(F.broadcast(rules), F.col("_skeleton") == F.col("_known"), "left")
+    rare = _rules(F.when(F.col("_known").isNull(), F.col("_skeleton")))
+    # a column of its own, lest the tokens are made anew for each value
+    both = both.select(*keys, F.coalesce("_common", rare).alias("_rule"), tokens_of(F.col("_text")).alias("_tokens"))
     values = extract(F.col("_tokens"), F.col("_rule"))
     return both.select(*keys, F.size("_rule").alias("n_values"), F.posexplode(values).alias("value_pos", "value")).select(*keys, "value_pos", "value", "n_values")
 

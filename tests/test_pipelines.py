@@ -1,5 +1,7 @@
+import random
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.operators import history, lexicon, packed, parse_rows
@@ -17,6 +19,24 @@ def test_packed_values(entries_of, spark):
     assert packed.packed_glosses(e.limit(0)).count() == 0
 
 
+def test_skeletons_have_a_sign_a_token(spark):
+    rng = random.Random(1)
+    signs = ["km", "h", "/", "m", " ", "  ", "a", "từ", "12", "345", "1.", "(", ")", ",", ";", "\u00a0", '"', "\n", "KM", "\ufdd3", "x/m", "l"]
+    df = spark.createDataFrame([("".join(rng.choices(signs, k=rng.randint(1, 14))),) for _ in range(5000)], "t string")
+    tokens, skeleton = packed.tokens_of(F.col("t")), packed.skeleton_of(F.col("t"))
+    assert df.filter((F.size(tokens) != F.length(skeleton)) | (F.array_join(tokens, "") != F.col("t"))).count() == 0
+    one = spark.createDataFrame([("chạy nhanh  90 km/h trong 3 giờ",)], "t string")
+    assert one.select(skeleton).first()[0] == "w 1 u/u w 1 w"
+
+
+@pytest.mark.parametrize("most", [0, 1, 20_000])
+def test_rules_are_the_same_wherever_resolved(spark, monkeypatch, most):
+    monkeypatch.setattr(packed, "BROADCAST_RULES", most)
+    df = spark.createDataFrame([(i, t) for i in range(6) for t in ("a, b", "một hai; ba", None, "x")] + [(9, "a; " * 400)], "id int, t string")
+    got = sorted((r["id"], r["value_pos"], r["value"]) for r in packed.packed_values(df, ["id"], "t").collect())
+    assert got == sorted([*((i, k, v) for i in range(6) for vs in (["a", "b"], ["một hai", "ba"], ["x"]) for k, v in enumerate(vs)), *((9, k, "a") for k in range(400))])
+
+
 def test_packed_values_of_very_long_text(spark):
     df = spark.createDataFrame([(1, "; ".join(f"v{i}" for i in range(20000)))], "id int, t string")
     rows = packed.packed_values(df, ["id"], "t")
@@ -59,8 +79,6 @@ def brute_reason(line):
 
 
 def test_parse_rows_against_brute_force(spark):
-    import random
-
     rng = random.Random(5)
     parts = ['"', '""', "\t", "a", "ô", "1", " ", "﻿", "\r", "#", "NULL", "-", "\x07", "N/A", "�"]
     lines = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(6000)] + [None, "", "a\tb", "a\tb", '"a\tb', "#a\tb", 'a\t"x\ty"\tn']
