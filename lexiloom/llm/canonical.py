@@ -25,6 +25,9 @@ from lexiloom.session import checkpointed
 
 #: Least Jaccard similarity of letter pairs of a candidate.
 THRESHOLD = 0.3
+#: Parts into which the sets that share a token are split: the smaller side is repeated
+#: that often, so that a token of a third of all sets is joined by as many tasks.
+SALTS = 16
 
 _BRACKETS = re.compile(r"[(\[{<]([^)\]}>]*)[)\]}>]")
 _SPLIT = re.compile(r"[,;:=|/\\+*•·–—]|\s-\s|\s/|/\s|\n|\t")
@@ -103,8 +106,8 @@ def pairs(text: Column) -> Column:
 def set_similarity_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """``(left_id, right_id, jaccard)`` of all pairs of token sets with that similarity.
 
-    ``left`` and ``right`` are ``(id, tokens)``. Exact: the filters drop no pair that
-    reaches the threshold. Empty token sets have no partner.
+    ``left`` and ``right`` are ``(id, tokens)``, ``right`` the smaller. Exact: the filters
+    drop no pair that reaches the threshold. Empty token sets have no partner.
     """
     sides = {"left": left, "right": right}
     tokens = left.select(F.explode("tokens").alias("token")).unionAll(right.select(F.explode("tokens").alias("token")))
@@ -122,12 +125,14 @@ def set_similarity_join(left: DataFrame, right: DataFrame, threshold: float) ->
         n = F.col(f"{name}_n")
         keep = n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1
         prefixes[name] = ranked.select(f"{name}_id", f"{name}_n", F.posexplode(F.slice(f"{name}_set", F.lit(1), keep)).alias(f"{name}_pos", "token"))
+    prefixes["left"] = prefixes["left"].withColumn("salt", F.pmod(F.xxhash64("left_id"), F.lit(SALTS)))
+    prefixes["right"] = prefixes["right"].withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     ln, rn = F.col("left_n"), F.col("right_n")
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (ln + rn) - F.lit(1e-9))
     most = 1 + F.least(ln - F.col("left_pos") - 1, rn - F.col("right_pos") - 1)
     candidates = (
         prefixes["left"]
-        .join(prefixes["right"], "token")
+        .join(prefixes["right"], ["token", "salt"])
         .filter((rn >= ln * F.lit(threshold) - 1e-9) & (ln >= rn * F.lit(threshold) - 1e-9))
         # the first shared token of the two prefixes bounds what can be shared after it
         .groupBy("left_id", "right_id")
@@ -152,19 +157,21 @@ def close_enough(segment: Column, form: Column, exact: Column) -> Column:
 
 
 def canonical_values(values: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``(value, pos_id, jaccard)`` of each distinct ``value``; 0 where it means no label.
+    """``(value, n, pos_id, jaccard, exact)`` of each distinct ``value`` that occurs ``n``
+    times; ``pos_id`` is 0 where it means no label, ``exact`` where it is one as it stands.
 
     ``labels`` is ``(pos_id, label, name_en, abbr)``. Nulls are no values. Values that
     hold no letter mean no label. Ties go to the earlier part of the value, the nearer
     spelling, the lower ``pos_id``. A spelling that several labels share stands for the
     one it is the whole label, name or abbreviation of, and for none if only shortened.
     """
-    distinct = values.filter(F.col("value").isNotNull()).groupBy("value").agg(F.count("*").alias("n"))
-    typed = distinct.select("value", F.posexplode(_segments("value")).alias("part", "segment"))
+    # both sides are read several times below: computed once, kept in the shared folder
+    distinct = checkpointed(values.filter(F.col("value").isNotNull()).groupBy("value").agg(F.count("*").alias("n")).withColumn("segments", _segments("value")))
+    typed = distinct.select("value", F.posexplode("segments").alias("part", "segment"))
     lists = labels.select("pos_id", F.posexplode(_spellings("label", "name_en", "abbr")).alias("rank", "s")).select("pos_id", "rank", "s.*")
     forms = lists.groupBy("form").agg(F.min(F.struct("rank", "pos_id", "exact")).alias("m"), F.count_distinct("pos_id").alias("owners"))
     whole = labels.select(F.explode(F.array("label", "name_en", "abbr")).alias("form")).select(F.lower("form").alias("form")).distinct().withColumn("whole", F.lit(True))
-    forms = forms.join(whole, "form", "left").filter((F.col("owners") == 1) | F.col("whole")).select("form", "m.pos_id", "m.exact")
+    forms = checkpointed(forms.join(whole, "form", "left").filter((F.col("owners") == 1) | F.col("whole")).select("form", "m.pos_id", "m.exact"))
     left = typed.select(F.col("segment").alias("id")).distinct().withColumn("tokens", pairs(F.col("id")))
     right = forms.select(F.col("form").alias("id"), pairs(F.col("form")).alias("tokens"))
     joined = set_similarity_join(left, right, threshold)
@@ -175,7 +182,9 @@ def canonical_values(values: DataFrame, labels: DataFrame, threshold: float = TH
     )
     order = F.struct((-F.col("jaccard")).alias("j"), "distance", "part", "pos_id")
     best = typed.join(near, "segment").groupBy("value").agg(F.min(order).alias("best"))
-    return distinct.join(best, "value", "left").select("value", "n", F.coalesce("best.pos_id", F.lit(0)).alias("pos_id"), F.coalesce(-F.col("best.j"), F.lit(0.0)).alias("jaccard"))
+    names = labels.select(F.col("label").alias("value")).distinct().withColumn("exact", F.lit(True))
+    out = distinct.join(best, "value", "left").join(names, "value", "left")
+    return out.select("value", "n", F.coalesce("best.pos_id", F.lit(0)).alias("pos_id"), F.coalesce(-F.col("best.j"), F.lit(0.0)).alias("jaccard"), F.coalesce("exact", F.lit(False)).alias("exact"))
 
 
 def sense_labels(entries: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -189,7 +198,5 @@ def sense_labels(entries: DataFrame, labels: DataFrame, threshold: float = THRES
     senses = senses.filter(F.col("pos").rlike(r"[^\s\p{Z}]"))
     # a row per distinct value, read twice below: computed once, kept in the shared folder
     mapping = checkpointed(canonical_values(senses.select(F.col("pos").alias("value")), labels, threshold).withColumnRenamed("value", "pos"))
-    out = lookup(senses, mapping, "pos", ["pos_id"], ["entry_id", "sense_no"], "n")
-    names = F.broadcast(labels.select(F.col("label").alias("_label")).distinct())
-    out = out.join(names, F.col("pos") == F.col("_label"), "left").withColumn("exact", F.col("_label").isNotNull())
+    out = lookup(senses, mapping, "pos", ["pos_id", "exact"], ["entry_id", "sense_no"], "n")
     return out.select("entry_id", "sense_no", "pos", F.coalesce("pos_id", F.lit(0)).alias("pos_id"), "exact")
