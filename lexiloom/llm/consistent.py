@@ -26,14 +26,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Look-alike letters. Each string pair lists letters of one script over
-# the Latin letters that they look like, in the same order.
-CYRILLIC = ("аекорстухіјѕһԁԛԝѵ" + "АВЕКМНОРСТУХІЈЅҺԀԚԜѴ", "aekopctyxijshdqwv" + "ABEKMHOPCTYXIJSHDQWV")
-GREEK = ("αιοκνρυχ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aiokvpux" + "ABEZHIKMNOPTYX")
-ARMENIAN = ("օսհոց" + "ՕՍԼ", "ouhng" + "OUL")
-CHEROKEE = ("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ")
-# Odd letters of the Latin script over the ordinary ones.
-LATIN_ODD = {"ɑ": "a", "ɡ": "g", "ı": "i", "ſ": "s", "ɩ": "i", "ꞵ": "ß", "Ð": "Đ", "Ɖ": "Đ"}
+# Look-alike letters, by what confusables lists (Unicode Technical Standard 39)
+# agree on. Each string pair lists letters of one script over the Latin letters that they
+# look like, in the same order; the last lists Greek letters over Cyrillic ones that no
+# Latin letter looks like.
+CYRILLIC = ("аекорстухіјѕһԁԛԝѵгьӏ" + "АВЕКМНОРСТУХІЈЅҺԀԚԜѴҮӀ", "aekopctyxijshdqwvrbl" + "ABEKMHOPCTYXIJSHDQWVYI")
+GREEK = ("αιοκνρυχγτσωηϳϲ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "aiokvpuxytownjc" + "ABEZHIKMNOPTYXCJ")
+ARMENIAN = ("օսհոցզյԁ" + "ՕՍԼՏ", "ouhngqjd" + "OULS")
+CHEROKEE = ("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃᎡᏔ", "ABCDEGHJKLMPRSTVWZRW")
+LISU = ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU")
+GREEK_CYRILLIC = ("φπκΓΛΠΦ", "фпкГЛПФ")
+# Odd letters of the Latin script over the ordinary ones; the second kind
+# belongs to other languages and is odd in Vietnamese text only.
+LATIN_ODD = {"ɑ": "a", "ɡ": "g"}
+LATIN_FOREIGN = {"ı": "i", "ſ": "s", "ɩ": "i", "ꞵ": "ß", "Ð": "Đ", "Ɖ": "Đ", "ð": "đ", "ɖ": "đ"}
 # Ignorable code points outside the general category Cf.
 IGNORABLE = {0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10)}
 
@@ -51,51 +57,67 @@ PLAIN = (
 SUSPECT = rf"[^{PLAIN}]"
 
 
-def _tables() -> tuple[dict[str, dict[str, str]], dict[str, str]]:
-    """Per Latin letter its look-alike by script, and per look-alike its Latin letter."""
-    spelled: dict[str, dict[str, str]] = {}
-    latin: dict[str, str] = {}
-    for script, (theirs, ours) in {"CYRILLIC": CYRILLIC, "GREEK": GREEK, "ARMENIAN": ARMENIAN, "CHEROKEE": CHEROKEE}.items():
+def _classes() -> dict[str, dict[str, str]]:
+    """Per letter the letters that look like it, by script."""
+    twins: dict[str, dict[str, str]] = {}
+    for script, (theirs, ours) in {"CYRILLIC": CYRILLIC, "GREEK": GREEK, "ARMENIAN": ARMENIAN, "CHEROKEE": CHEROKEE, "LISU": LISU}.items():
         for t, o in zip(theirs, ours, strict=True):
-            latin[t] = o
-            spelled.setdefault(o, {}).setdefault(script, t)
-    return spelled, latin
+            look = twins.setdefault(o, {"LATIN": o})
+            look.setdefault(script, t)
+            twins[t] = look
+    for g, c in zip(*GREEK_CYRILLIC, strict=True):
+        if g in twins or c in twins:
+            continue  # by way of their Latin letter
+        twins[g] = twins[c] = {"GREEK": g, "CYRILLIC": c}
+    return twins
 
 
-SPELLED, LATIN = _tables()
+TWINS = _classes()
+#: The Latin letter that a letter of another script looks like.
+LATIN = {c: look["LATIN"] for c, look in TWINS.items() if look.get("LATIN", c) != c}
+#: Letters with marks that Vietnamese alone uses.
+VIETNAMESE = re.compile("[ăđơưạảấầẩẫậắằẳẵặẹẻẽếềểễệịỉĩọỏốồổỗộớờởỡợụủũứừửữựỵỷỹ]", re.IGNORECASE)
 
 
 @lru_cache(maxsize=65536)
 def script_of(ch: str) -> str:
     """The script of a letter, read from its Unicode name."""
     name = unicodedata.name(ch, "")
+    if "SMALL CAPITAL" in name and "\u1d00" <= ch <= "\u1d22":
+        return "SMALL CAPITAL"
     return "LATIN" if name.startswith(("LATIN", "MODIFIER LETTER")) else name.split(" ", 1)[0] if name else "?"
 
 
 def spellings(ch: str) -> dict[str, str]:
     """The resolved script set of a base letter: script -> how it is spelled there."""
-    own = script_of(ch)
-    to_latin = ch if own == "LATIN" else LATIN.get(ch)
-    out = {own: ch}
-    if to_latin is not None:
-        out.setdefault("LATIN", to_latin)
-        for script, letter in SPELLED.get(to_latin, {}).items():
-            out.setdefault(script, letter)
+    out = {script_of(ch): ch}
+    form = unicodedata.decomposition(ch)
+    if unicodedata.category(ch) == "Nl" and form.startswith("<compat>"):  # a numeral made of a letter
+        out["LATIN"] = unicodedata.normalize("NFKC", ch)
+    if "SMALL CAPITAL" in unicodedata.name(ch, "") and len(name := unicodedata.name(ch).split()[-1]) == 1:
+        out["LATIN"] = name.lower()
+    for script, letter in TWINS.get(ch, {}).items():
+        out.setdefault(script, letter)
     return out
 
 
 def _ipa(word: str) -> bool:
     """Whether a word is a phonetic transcription, in which odd letters are meant."""
-    return any(("ɐ" <= c <= "ʯ" and c not in "ɑɡɩ") or c in "ˈˌː" for c in word)
+    return any(("ɐ" <= c <= "ʯ" and c not in "ɑɡɩɖ") or c in "ˈˌː" for c in word)
 
 
 @lru_cache(maxsize=200_000)
-def respell(word: str, dominant: str) -> str:
-    """A word (letters with marks) in its own script; ``dominant`` settles ties."""
+def respell(word: str, dominant: str, vietnamese: bool = False) -> str:
+    """A word (letters with marks) in its own script; ``dominant`` settles ties.
+
+    In a text that is ``vietnamese``, and in a word that mixed scripts, letters of other
+    languages' Latin are odd, too.
+    """
     base = unicodedata.normalize("NFD", word)
     letters = [c for c in base if unicodedata.category(c)[0] != "M"]
     scripts = Counter(script_of(c) for c in letters)
-    if len(scripts) > 1:
+    mixed = len(scripts) > 1
+    if mixed:
         sets = [spellings(c) for c in letters]
         common = set(sets[0]).intersection(*sets[1:])
         if not common:  # no script fits all: the commonest one takes what it can
@@ -104,7 +126,8 @@ def respell(word: str, dominant: str) -> str:
         base = "".join(c if unicodedata.category(c)[0] == "M" else spellings(c).get(target, c) for c in base)
     if not _ipa(base):
         # before composing, for a letter such as a dotless i carries its own marks
-        base = "".join(LATIN_ODD.get(c, c) for c in base)
+        odd = LATIN_ODD | LATIN_FOREIGN if mixed or vietnamese or VIETNAMESE.search(unicodedata.normalize("NFC", base)) else LATIN_ODD
+        base = "".join(odd.get(c, c) for c in base)
     return unicodedata.normalize("NFC", base)
 
 
@@ -136,7 +159,8 @@ def consistent(text: str | None) -> str | None:
     # letters that could be Latin in disguise say nothing about the text's own script
     scripts = Counter(script_of(c) for c in unicodedata.normalize("NFD", folded) if c.isalpha() and c not in LATIN)
     dominant = max(scripts, key=lambda s: (scripts[s], s == "LATIN", s)) if scripts else "LATIN"
-    return unicodedata.normalize("NFC", WORD.sub(lambda m: m[0] if m[0].isascii() else respell(m[0], dominant), folded))
+    vietnamese = VIETNAMESE.search(folded) is not None
+    return unicodedata.normalize("NFC", WORD.sub(lambda m: m[0] if m[0].isascii() else respell(m[0], dominant, vietnamese), folded))
 
 
 def whole_script_confusable(word: str) -> bool:
@@ -156,6 +180,15 @@ def _confusable_udf(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t is not None and has_confusable(t)).astype(bool)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _words_udf(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: [m[0] for m in WORD.finditer(consistent(t)) if not m[0].isascii() and whole_script_confusable(m[0])], na_action="ignore").astype(object)
+
+
+#: Not repeated by the optimizer where a filter and a projection use the same result.
+_confusable_words = _words_udf.asNondeterministic()
+
+
 @F.pandas_udf(T.StringType())
 def _consistent_udf(texts: pd.Series) -> pd.Series:
     return texts.map(consistent, na_action="ignore")
@@ -222,6 +255,13 @@ def inconsistent_texts(entries: DataFrame) -> DataFrame:
     return hard.withColumn("consistent", _consistent_once("text")).filter(F.col("text") != F.col("consistent")).withColumn("confusable", _confusable(F.col("consistent")))
 
 
-def terms_of(text: Column) -> Column:
-    """The terms: maximal runs of letters of the lower-cased consistent form."""
-    return F.regexp_extract_all(F.lower(consistent_form(text)), F.lit(r"(\p{L}+)"), F.lit(1))
+def confusable_texts(entries: DataFrame) -> DataFrame:
+    """The texts with a word that is wholly of look-alikes of Latin letters, and those words.
+
+    ``(entry_id, field, sense_no, item_no, words)``. Such a word belongs to its own script
+    and stays as it is in the consistent form; only a reader can be deceived by it. Plain
+    texts don't reach Python; null and empty texts give no rows.
+    """
+    hard = entry_texts(entries).filter(suspect(F.col("text")))
+    found = hard.withColumn("words", _confusable_words(F.col("text")))
+    return found.filter(F.size("words") > 0).select("entry_id", "field", "sense_no", "item_no", "words")

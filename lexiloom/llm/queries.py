@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm.canonical import sense_labels
-from lexiloom.llm.consistent import inconsistent_texts
+from lexiloom.llm.consistent import confusable_texts, inconsistent_texts
 from lexiloom.llm.mix import mix, mix_report, sized_documents
 from lexiloom.llm.residue import residue_texts
 from lexiloom.llm.terms import CRITICAL, distinctive_terms, gloss_term_counts
@@ -48,6 +48,10 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inconsistent_texts(_table(spark, sf_dir, "entries")).select("entry_id", "field", "sense_no", "item_no")
 
 
+def p6_whole_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return confusable_texts(_table(spark, sf_dir, "entries"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(_table(spark, sf_dir, "documents"))
 
@@ -70,4 +74,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue_texts(_table(spark, sf_dir, "documents")).select("doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_counts, p5_found, p5_scores, p6_found, p7_ids, p8_mix, p8_report, p9_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_counts, p5_found, p5_scores, p6_found, p6_whole_script, p7_ids, p8_mix, p8_report, p9_found)}

@@ -89,7 +89,8 @@ def test_counters_flush_between_records(monkeypatch):
 # 6
 @pytest.mark.parametrize(
     ("text", "wanted"),
-    [("ngườі", "người"), ("сһo kéο", "cho kéo"), ("λόγoς", "λόγος"), ("(chữ Nga: сосна)", "(chữ Nga: сосна)"), ("m² CO₂ ½ hoà hòa", "m² CO₂ ½ hoà hòa"), ("Ðến ӑn", "Đến ăn"), ("oﬀ deg­o​rk﻿", "off degork"), ("a b　c\td\n", "a b c\td\n"), ("ｔừ（ｃũ）", "từ(cũ)"), ("dіtсһ-nаіl", "ditch-nail"), ("sɑil /ʌɡɑ/", "sail /ʌɡɑ/"), (unicodedata.normalize("NFD", "được"), "được"), ("", ""), ("🙂 — “x”", "🙂 — “x”")],
+    [("ngườі", "người"), ("сһo kéο", "cho kéo"), ("λόγoς", "λόγος"), ("(chữ Nga: сосна)", "(chữ Nga: сосна)"), ("m² CO₂ ½ hoà hòa", "m² CO₂ ½ hoà hòa"), ("Ðến ӑn", "Đến ăn"), ("oﬀ deg­o​rk﻿", "off degork"), ("a b　c\td\n", "a b c\td\n"), ("ｔừ（ｃũ）", "từ(cũ)"), ("dіtсһ-nаіl", "ditch-nail"), ("sɑil /ʌɡɑ/", "sail /ʌɡɑ/"), (unicodedata.normalize("NFD", "được"), "được"), ("", ""), ("🙂 — “x”", "🙂 — “x”"),
+     ("kadın", "kadın"), ("Ðað er", "Ðað er"), ("Ðồng", "Đồng"), ("Ðo đường", "Đo đường"), ("ΠΡИВЕТ", "ПРИВЕТ"), ("ьad", "bad"), ("ca\u217cl", "call"), ("ꓡove", "Love"), ("hᴇllo", "hello"), ("Ⅳ", "Ⅳ"),],
 )
 def test_consistent_form(text, wanted):
     assert consistent.consistent(text) == wanted
@@ -112,6 +113,9 @@ def test_whole_script_confusables_are_reported(spark, entries_of):
     assert got == {("headword", -1): ("сор", False, True), ("gloss", 0): ("сосна", False, False), ("gloss", 1): (got["gloss", 1][0], True, False), ("gloss", 2): ("ok", False, False), ("gloss", 3): (got["gloss", 3][0], True, True)}
     assert {(r["item_no"], r["confusable"]) for r in consistent.inconsistent_texts(e).collect()} == {(1, False), (3, True)}
     assert consistent.consistent_texts(e.limit(0)).count() == 0
+    words = {(r["field"], r["item_no"]): r["words"] for r in consistent.confusable_texts(e.withColumn("words", F.lit("clash"))).collect()}
+    assert words == {("headword", -1): ["сор"], ("gloss", 3): ["сор"]}
+    assert consistent.confusable_texts(e.limit(0)).count() == 0
 
 
 # 7
