@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexiloom.functions.tables import IRREGULAR, PAST_FORMS, VIETNAMESE_LETTERS
 
@@ -38,13 +40,29 @@ def strip_bom(text: Column) -> Column:
     return F.regexp_replace(text, r"^\x{FEFF}", "")
 
 
-def normalize_headword(raw: Column) -> Column:
-    """The form under which headwords are looked up; null gives the empty text.
+#: Marks that compose with a letter: a text without any is in NFC already, but for a few
+#: letters that decompose on their own.
+MARKS = r"[\u0300-\u036f\u0653-\u0655\u093c\u09be\u09d7\u1100-\u11ff\u3099\u309a\u212a\u212b\u2126\u0340-\u0344]"
 
-    Input is expected in NFC, as the sources here write it.
+
+@F.pandas_udf(T.StringType())
+def _nfc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
+def nfc(text: Column) -> Column:
+    """With precomposed letters; only texts that hold marks leave the JVM."""
+    return F.coalesce(_nfc(F.when(text.rlike(MARKS), text)), text)
+
+
+def normalize_headword(raw: Column, composed: bool = False) -> Column:
+    """The form under which headwords are looked up, in NFC; null gives the empty text.
+
+    ``composed``: the text is known to be in NFC.
     """
     text = F.regexp_replace(strip_bom(F.coalesce(raw, F.lit(""))), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
-    return F.lower(collapse_spaces(F.replace(text, F.lit("_"), F.lit(" "))))
+    out = F.lower(collapse_spaces(F.replace(text, F.lit("_"), F.lit(" "))))
+    return out if composed else nfc(out)
 
 
 def remove_diacritics(text: Column) -> Column:

@@ -7,6 +7,8 @@ dictionary into one task.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -69,7 +71,8 @@ def contains(queries: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def prefix_scan(keys: DataFrame, prefix: str, limit: int) -> DataFrame:
-    """The first keys in byte order that start so; duplicates are kept."""
+    """The first keys in byte order that start with the normalized prefix; duplicates are kept."""
+    prefix = " ".join(unicodedata.normalize("NFC", prefix.replace("_", " ")).lower().split())
     if not prefix or limit <= 0:
         return keys.limit(0)
     return keys.filter(F.col("key").startswith(prefix)).orderBy("key", "entry_id").limit(limit)
@@ -124,11 +127,13 @@ def resolve(queries: DataFrame, entries: DataFrame, sources: DataFrame | None =
     rows = entries.select("entry_id", "source_id", has_gloss(F.col("senses"), F.col("idioms")).alias("glossed"))
     rows = rows.withColumn("source_priority", F.lit(0)) if sources is None else apply_sources(rows, sources)
     keys = all_keys(entries) if keys is None else keys
-    hits = forms.join(keys.withColumnRenamed("key", "form"), "form").join(rows, "entry_id")
-    per_form = hits.groupBy("query_id", "rank", "form").agg(F.max("glossed").alias("any_gloss"), F.collect_list("entry_id").alias("ids"))
-    usable = per_form.filter(F.col("any_gloss") | (F.col("rank") == 0))
-    best = usable.groupBy("query_id").agg(F.min(F.struct((~F.col("any_gloss")).alias("bare"), "rank", "form", "ids")).alias("b"))
-    return best.select("query_id", "b.form", (F.col("b.rank") > 0).alias("via_lemma"), F.explode("b.ids").alias("entry_id"))
+    keyed = keys.withColumnRenamed("key", "form").join(rows, "entry_id")
+    # whether a form has any gloss is a row a form: entries are brought in only for the form that is chosen
+    known = keyed.groupBy("form").agg(F.max("glossed").alias("any_gloss"))
+    usable = forms.join(known, "form").filter(F.col("any_gloss") | (F.col("rank") == 0))
+    best = usable.groupBy("query_id").agg(F.min(F.struct((~F.col("any_gloss")).alias("bare"), "rank", "form")).alias("b"))
+    chosen = best.select("query_id", "b.form", (F.col("b.rank") > 0).alias("via_lemma"))
+    return chosen.join(keyed.select("form", "entry_id"), "form").select("query_id", "form", "via_lemma", "entry_id")
 
 
 def ranked_candidates(entries: DataFrame, group: list[str], sources: DataFrame | None = None, most: int = 12) -> DataFrame:

@@ -26,7 +26,7 @@ SEGMENT = "struct<source:string, start:int, end:int, kind:string, candidates:arr
 def _words(sentences: DataFrame) -> DataFrame:
     """``(sentence_id, words)``: the normalized words in order with their token's place."""
     tok = sentences.select("sentence_id", F.posexplode(tokens("sentence")).alias("token_no", "t")).filter("t.is_word")
-    one = tok.select("sentence_id", F.struct("token_no", normalize_headword(F.col("t.text")).alias("norm"), F.col("t.text").alias("text")).alias("w"))
+    one = tok.select("sentence_id", F.struct("token_no", normalize_headword(F.col("t.text"), composed=True).alias("norm"), F.col("t.text").alias("text")).alias("w"))
     return one.groupBy("sentence_id").agg(F.array_sort(F.collect_list("w")).alias("words"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexiloom.functions.text import dequantize, english_tokens, gloss_alternatives, quantize, split_tokens
+from lexiloom.operators.skew import lookup
 from lexiloom.session import checkpointed
 
 NULL_WORD = ""
@@ -39,14 +40,22 @@ def cooccurrence(pairs: DataFrame) -> DataFrame:
 
 
 def em_step(cells: DataFrame, t: DataFrame | None) -> DataFrame:
-    """One iteration: ``(e, f, t)`` from the cells and the last table (None: all alike)."""
-    rows = cells.withColumn("t", F.lit(1.0)) if t is None else cells.join(t, ["e", "f"])
+    """One iteration: ``(e, f, t)`` from the cells and the last table (None: all alike).
+
+    ``t`` has the number ``n`` of each pair's cells: pairs of frequent words, of which the
+    empty word has one with every other, meet a bounded broadcast and are spread.
+    """
+    if t is None:
+        rows = cells.withColumn("t", F.lit(1.0))
+    else:
+        keyed = cells.withColumn("pair", F.concat_ws("\t", "e", "f"))
+        rows = lookup(keyed, t.select(F.concat_ws("\t", "e", "f").alias("pair"), "t", "n"), "pair", ["t"], ["line_no", "e", "f"], "n", how="inner").drop("pair")
     share = Window.partitionBy("line_no", "f")
     expected = F.col("times") * F.col("nf") * F.col("ne") * F.col("t") / F.sum(F.col("ne") * F.col("t")).over(share)
-    counts = rows.withColumn("c", expected).groupBy("e", "f").agg(F.sum("c").alias("c"))
+    counts = rows.withColumn("c", expected).groupBy("e", "f").agg(F.sum("c").alias("c"), F.count("*").alias("n"))
     totals = counts.groupBy("e").agg(F.sum("c").alias("total"))
     # the empty word meets every other: its counts are a row a word here, no longer a row a line
-    return counts.join(totals, "e").select("e", "f", (F.col("c") / F.col("total")).alias("t"))
+    return counts.join(totals, "e").select("e", "f", (F.col("c") / F.col("total")).alias("t"), "n")
 
 
 def train(pairs: DataFrame, iterations: int = 4, most_tokens: int = 20, cut: bool = True) -> DataFrame:
@@ -59,7 +68,7 @@ def train(pairs: DataFrame, iterations: int = 4, most_tokens: int = 20, cut: boo
         t = em_step(cells, t)
         if cut and i + 1 < iterations:
             t = checkpointed(t)
-    return t
+    return t.drop("n")
 
 
 def top_translations(table: DataFrame, k: int = 16, least: float = 0.005) -> DataFrame:

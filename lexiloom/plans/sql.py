@@ -23,7 +23,7 @@ def _collapse(text: str) -> str:
 
 def _norm(text: str) -> str:
     bare = rf"regexp_replace(regexp_replace(coalesce({text}, ''), '^\x{{FEFF}}', ''), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
-    return f"lower({_collapse(f'''replace({bare}, '_', ' ')''')})"
+    return f"nfc_normalize(lower({_collapse(f'''replace({bare}, '_', ' ')''')}))"
 
 
 def _values(rows: tuple) -> str:
@@ -143,7 +143,7 @@ SQL: dict[str, str] = {
  (sum(coalesce(list_sum(list_transform(senses, lambda s: coalesce(len(s.examples), 0))), 0)) + sum(coalesce(list_sum(list_transform(idioms, lambda s: coalesce(len(s.examples), 0))), 0)))::BIGINT AS examples, sum(coalesce(len(idioms), 0))::BIGINT AS idioms FROM entries""",
     "looks_vietnamese": f"SELECT doc_id, coalesce(regexp_matches(lower(text), '[{VIETNAMESE_LETTERS}]'), false) AS vietnamese FROM documents",
     "latest_per_key_history": f"WITH {_LOG} SELECT mode, query, max(epoch_second) AS epoch_second, count(*) AS times FROM lg GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 1000",
-    "consecutive_dedupe": f"WITH {_LOG}, d AS (SELECT DISTINCT * FROM lg), b AS (SELECT *, lag(query) OVER (PARTITION BY mode ORDER BY epoch_second, query) AS b FROM d) SELECT epoch_second, mode, query FROM b WHERE b IS NULL OR b <> query",
+    "consecutive_dedupe": f"WITH {_LOG}, d AS (SELECT DISTINCT * FROM lg), b AS (SELECT *, lag((mode, query)) OVER (ORDER BY epoch_second, mode, query) AS b FROM d) SELECT epoch_second, mode, query FROM b WHERE b IS NULL OR b <> (mode, query)",
     "history_retention": f"WITH {_LOG}, n AS (SELECT count(*) AS n FROM lg), r AS (SELECT *, row_number() OVER (ORDER BY epoch_second DESC, mode, query) AS r FROM lg) SELECT epoch_second, mode, query FROM r, n WHERE n <= 2000 OR r <= 1000",
     "history_delete_key": f"WITH {_LOG} SELECT * FROM lg WHERE NOT (mode IN ('word', 'sentence') AND query = 'set up')",
     "stride_sample": r"""WITH p AS (SELECT line_no, len(regexp_extract_all(lower(en), '[\p{L}\p{Nd}'']+')) AS en_tokens, len(regexp_extract_all(lower(vi), '[\p{L}\p{Nd}]+')) AS vi_tokens FROM parallel_pairs), m AS (SELECT greatest(1, max(line_no) // 1000) AS s FROM p)

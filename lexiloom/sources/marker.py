@@ -8,17 +8,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexiloom.functions.text import collapse_spaces, normalize_headword, strip_bom
+from lexiloom.operators.ordered import BLOCK, in_blocks, latest
 
 
 def can_read(first_lines: list[str]) -> bool:
     return any(line.removeprefix("﻿").startswith("@") for line in first_lines[:20])
 
 
-def read_lines(spark: SparkSession, path: str, source_id: int) -> DataFrame:
-    """``(source_id, file, line_no, line)``: a file is read whole, its lines numbered."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = files.select("file", F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("line_no", "line"))
-    return lines.select(F.lit(source_id).alias("source_id"), "file", (F.col("line_no") + 1).cast("long").alias("line_no"), "line")
+def read_lines(spark: SparkSession, path: str, source_id: int, across_files: bool = False) -> DataFrame:
+    """``(source_id, file, line_no, line)``, lines numbered from 1.
+
+    Files are read in splits. A split's rows come in order, so that a line's number is its
+    place in the split and the number of lines in the splits before, of which there is a
+    row each. ``across_files`` numbers on through the files in the order of their paths.
+    """
+    place = ["file", "start"]
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("line"))
+    splits = text.groupBy(*place).agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    before = (Window.orderBy(*place) if across_files else Window.partitionBy("file").orderBy("start")).rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select(*place, "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    number = F.col("row") - F.col("first") + F.col("before") + 1
+    return text.join(splits, place).select(F.lit(source_id).alias("source_id"), "file", number.cast("long").alias("line_no"), "line")
 
 
 def split_headword(raw: Column) -> dict[str, Column]:
@@ -40,8 +50,11 @@ def marker_lines(lines: DataFrame) -> DataFrame:
     text = F.when(F.col("line_no") == 1, strip_bom(F.col("line"))).otherwise(F.col("line"))
     rows = lines.withColumn("_t", text).filter(F.col("_t").rlike(r"\S"))
     rows = rows.withColumn("mark", F.substring("_t", 1, 1)).withColumn("rest", F.trim(F.substring("_t", 2, 1 << 30)))
-    in_file = Window.partitionBy("source_id", "file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("entry_no", F.max(F.when(F.col("mark") == "@", F.col("line_no"))).over(in_file)).drop("_t")
+    order = ["source_id", "file", "line_no"]
+    head = F.when(F.col("mark") == "@", F.struct("source_id", "file", "line_no"))
+    rows = latest(in_blocks(rows, order), order, head, "_head")
+    mine = (F.col("_head.source_id") == F.col("source_id")) & (F.col("_head.file") == F.col("file"))
+    return rows.withColumn("entry_no", F.when(mine, F.col("_head.line_no"))).drop("_t", "_head", BLOCK)
 
 
 def bad_lines(lines: DataFrame) -> DataFrame:
@@ -49,6 +62,13 @@ def bad_lines(lines: DataFrame) -> DataFrame:
     return marker_lines(lines).filter(F.col("entry_no").isNull() | ~F.col("mark").isin(*"@*!-=+")).select("source_id", "file", "line_no", "line")
 
 
+def bad_line_report(lines: DataFrame, samples: int = 20) -> tuple[int, list[str]]:
+    """How many lines are malformed, and the first of them."""
+    bad = bad_lines(lines)
+    first = bad.orderBy("source_id", "file", "line_no").limit(samples).collect()
+    return bad.count(), [r["line"] for r in first]
+
+
 def entries(lines: DataFrame) -> DataFrame:
     """Nested entries. A gloss or example belongs to the idiom opened since the last
     ``*``, else to the sense; an example without English text is dropped."""
