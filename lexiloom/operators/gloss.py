@@ -15,10 +15,14 @@ from pyspark.sql import functions as F
 from lexiloom.functions.segment import tokens
 from lexiloom.functions.tables import FUNCTION_WORDS, OBJECT_PRONOUNS
 from lexiloom.functions.text import is_junk_gloss, lemma_candidates, normalize_headword
-from lexiloom.operators.dictionary import all_keys, phrase_candidates, phrase_starters, ranked_candidates, resolve
+from lexiloom.operators.dictionary import NO_PRIORITY, all_keys, phrase_candidates, phrase_starters, ranked_candidates, resolve
+from lexiloom.operators.lexicon import score_glosses
+from lexiloom.operators.skew import lookup
 from lexiloom.session import checkpointed
 
 LONGEST_PHRASE = 4
+#: Copies of a sentence from which on they meet its segments by a broadcast.
+HOT_SENTENCE = 1_000
 FUNCTION_POS = "từ chức năng"
 SEGMENT = "struct<source:string, start:int, end:int, kind:string, candidates:array<struct<headword:string, gloss:string, pos:string, score:double, source_id:int>>>"
 
@@ -35,13 +39,16 @@ def phrase_matches(words: DataFrame, keys: DataFrame) -> DataFrame:
 
     The first word is tried as it stands and by its lemmas, if some phrase starts so.
     """
-    w = words.select("sentence_id", F.posexplode("words").alias("at", "w"), F.transform("words", lambda x: x["norm"]).alias("norms"))
-    heads = w.select("sentence_id", "at", "norms", F.posexplode(F.concat(F.array("w.norm"), lemma_candidates(F.col("w.norm")))).alias("rank", "head"))
+    # the next words of each place are cut out before the places are taken apart, so that no
+    # place carries the whole sentence along
+    places = F.transform("words", lambda x, i: F.struct(i.alias("at"), x["norm"].alias("norm"), F.transform(F.slice("words", i + 2, LONGEST_PHRASE - 1), lambda y: y["norm"]).alias("next")))
+    w = words.select("sentence_id", F.inline(places))
+    heads = w.select("sentence_id", "at", "next", F.posexplode(F.concat(F.array("norm"), lemma_candidates(F.col("norm")))).alias("rank", "head"))
     heads = heads.join(phrase_starters(keys).withColumnRenamed("starter", "head"), "head", "left_semi")
-    sizes = F.filter(F.sequence(F.lit(2), F.lit(LONGEST_PHRASE)), lambda n: F.col("at") + n <= F.size("norms"))
-    tries = heads.select("sentence_id", "at", "rank", "head", "norms", F.explode(sizes).alias("n"))
-    last = F.element_at("norms", F.col("at") + F.col("n"))
-    tries = tries.filter(~last.isin(sorted(OBJECT_PRONOUNS))).withColumn("key", F.concat_ws(" ", F.array("head"), F.slice("norms", F.col("at") + 2, F.col("n") - 1)))
+    sizes = F.filter(F.sequence(F.lit(2), F.lit(LONGEST_PHRASE)), lambda n: n <= F.size("next") + 1)
+    tries = heads.select("sentence_id", "at", "rank", "head", "next", F.explode(sizes).alias("n"))
+    last = F.element_at("next", F.col("n") - 1)
+    tries = tries.filter(~last.isin(sorted(OBJECT_PRONOUNS))).withColumn("key", F.concat_ws(" ", F.array("head"), F.slice("next", F.lit(1), F.col("n") - 1))).drop("next")
     found = tries.join(keys.select("key").distinct(), "key", "left_semi")
     best = found.groupBy("sentence_id", "at").agg(F.min(F.struct((-F.col("n")).alias("m"), "rank", "n", "key")).alias("b"))
     return best.select("sentence_id", "at", "b.n", "b.key")
@@ -63,22 +70,49 @@ def candidates_by_form(forms: DataFrame, entries: DataFrame, sources: DataFrame
     return via.join(lists, "query_id", "left").select(F.col("query_id").alias("form"), "via_lemma", F.coalesce("candidates", empty).alias("candidates"))
 
 
-def likelihood_order(candidates: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Candidates ``(form, rank, gloss, ...)`` ranked anew by how likely each gloss is."""
-    from lexiloom.operators.lexicon import score_glosses
+def likelihood_order(known: DataFrame, lexicon: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """``(form, ..., candidates)`` with each list of two or more in the order of its source's
+    priority, then of how likely its glosses translate the form, then as it was.
 
-    rows = candidates.withColumn("id", F.struct("form", "rank"))
-    scores = score_glosses(rows.select("id", F.col("form").alias("en"), "gloss"), lexicon).withColumnRenamed("score", "likelihood")
-    return rows.join(scores, "id", "left").withColumn("likelihood", F.coalesce("likelihood", F.lit(0.0))).drop("id")
-
-
-def gloss_sentences(sentences: DataFrame, entries: DataFrame, sources: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
+    Where no synonym of a gloss is known under the form itself, the candidate's headword
+    stands for the form.
+    """
+    rows = known.filter(F.size("candidates") > 1).select("form", F.posexplode("candidates").alias("place", "c"))
+    ids = rows.select(F.struct("form", "place").alias("id"), F.col("form").alias("form_en"), F.col("c.headword").alias("head_en"), F.col("c.gloss").alias("gloss"))
+    by_form = score_glosses(ids.select("id", F.col("form_en").alias("en"), "gloss"), lexicon).withColumnRenamed("score", "by_form")
+    by_head = score_glosses(ids.select("id", F.col("head_en").alias("en"), "gloss"), lexicon).withColumnRenamed("score", "by_head")
+    scored = rows.withColumn("id", F.struct("form", "place")).join(by_form, "id", "left").join(by_head, "id", "left")
+    likely = F.coalesce(F.when(F.col("by_form") > 0, F.col("by_form")), "by_head", F.lit(0.0))
+    if sources is None:
+        scored = scored.withColumn("priority", F.lit(0))
+    else:
+        order = sources.select(F.col("id").alias("_source"), F.col("priority").alias("_priority"))
+        scored = scored.join(order, F.col("c.source_id") == F.col("_source"), "left").withColumn("priority", F.coalesce("_priority", F.lit(NO_PRIORITY)))
+    lists = scored.groupBy("form").agg(F.transform(F.array_sort(F.collect_list(F.struct("priority", (-likely).alias("likely"), "place", "c"))), lambda x: x["c"]).alias("_ordered"))
+    return known.join(lists, "form", "left").withColumn("candidates", F.coalesce("_ordered", "candidates")).drop("_ordered")
+
+
+def gloss_sentences(sentences: DataFrame, entries: DataFrame, sources: DataFrame | None = None, keys: DataFrame | None = None, lexicon: DataFrame | None = None) -> DataFrame:
     """``(sentence_id, sentence, segments)`` of ``sentences`` = ``(sentence_id, sentence)``.
 
     Segments tile the sentence: PHRASE, WORD, UNKNOWN or PUNCT. A phrase whose glosses
     are all junk, or that has none, counts as no match. Function words that the dictionary
-    has get their fixed translation first. Null sentences have no segments.
+    has get their fixed translation first. Null sentences have no segments. With a
+    ``lexicon`` the candidates of a word come in the order of their likelihood.
+
+    Equal sentences are glossed once; a stock sentence meets its copies by a bounded
+    broadcast.
     """
+    kind = dict(sentences.dtypes)["sentence_id"]
+    once = checkpointed(sentences.filter(F.col("sentence").isNotNull()).groupBy("sentence").agg(F.count("*").alias("n")).withColumn("sentence_id", F.md5("sentence")))
+    glossed = _gloss_once(once.select("sentence_id", "sentence"), entries, sources, keys, lexicon)
+    found = glossed.join(once.select("sentence", "n"), "sentence")
+    out = lookup(sentences.select("sentence_id", "sentence"), checkpointed(found), "sentence", ["segments"], ["sentence_id"], "n", least=HOT_SENTENCE)
+    return out.select(F.col("sentence_id").cast(kind).alias("sentence_id"), "sentence", F.coalesce("segments", F.array().cast(f"array<{SEGMENT}>")).alias("segments"))
+
+
+def _gloss_once(sentences: DataFrame, entries: DataFrame, sources: DataFrame | None, keys: DataFrame | None, lexicon: DataFrame | None) -> DataFrame:
+    """The same of different sentences."""
     # each of these is read several times below: computed once, kept in the shared folder
     keys = checkpointed(all_keys(entries)) if keys is None else keys
     words = checkpointed(_words(sentences))
@@ -93,11 +127,14 @@ def gloss_sentences(sentences: DataFrame, entries: DataFrame, sources: DataFrame
     proper = glosses.filter(~is_junk_gloss(F.col("gloss"))).select("key").distinct()
     phrases = _gathered(glosses.join(proper, "key", "left_semi"), "key", "candidates")
     spans = matches.join(phrases, "key").groupBy("sentence_id").agg(F.collect_list(F.struct("at", "n", "candidates")).alias("phrases"))
-    forms = words.select(F.explode("words").alias("w")).select(F.col("w.norm").alias("form")).distinct()
-    known = candidates_by_form(forms, entries, sources, keys)
-    per = words.select("sentence_id", F.posexplode("words").alias("at", "w")).select("sentence_id", "at", F.col("w.norm").alias("form")).join(known, "form")
+    forms = checkpointed(words.select(F.explode("words").alias("w")).groupBy(F.col("w.norm").alias("form")).agg(F.count("*").alias("n")))
+    known = candidates_by_form(forms.select("form"), entries, sources, keys)
+    known = known if lexicon is None else likelihood_order(known, lexicon, sources)
+    known = checkpointed(known.join(forms, "form"))
+    per = words.select("sentence_id", F.posexplode("words").alias("at", "w")).select("sentence_id", "at", F.col("w.norm").alias("form"))
+    per = lookup(per, known, "form", ["via_lemma", "candidates"], ["sentence_id", "at"], "n", how="inner")
     singles = per.groupBy("sentence_id").agg(F.collect_list(F.struct("at", "via_lemma", "candidates")).alias("singles"))
-    joined = sentences.join(spans, "sentence_id", "left").join(singles, "sentence_id", "left").select("sentence_id", "sentence", tokens("sentence").alias("tokens"), "phrases", "singles")
+    joined = sentences.select("sentence_id", "sentence").join(spans, "sentence_id", "left").join(singles, "sentence_id", "left").select("sentence_id", "sentence", tokens("sentence").alias("tokens"), "phrases", "singles")
     return joined.mapInArrow(_scan, f"sentence_id {dict(sentences.dtypes)['sentence_id']}, sentence string, segments array<{SEGMENT}>")
 
 
