@@ -201,11 +201,25 @@ def lemma_candidates(word: Column) -> Column:
         (w.endswith("est") & (n > 5), _stems(cut(3))),
         (w.endswith("er") & (n > 4), _stems(cut(2))),
     )
-    irregular = F.element_at(_map(IRREGULAR), w)
-    found = F.concat(F.when(irregular.isNotNull(), F.array(irregular)).otherwise(none), *[F.when(c, v).otherwise(none) for c, v in rules])
+    known = irregular(w)
+    found = F.concat(F.when(known.isNotNull(), F.array(known)).otherwise(none), *[F.when(c, v).otherwise(none) for c, v in rules])
     return F.when(n >= 3, F.array_remove(F.array_distinct(found), w)).otherwise(none)
 
 
+def irregular(word: Column) -> Column:
+    """The base form of an irregular word; null of others."""
+    return F.element_at(_map(IRREGULAR), F.lower(word))
+
+
+def lemma(word: Column) -> Column:
+    """The base form: the irregular one, else the first candidate, else the word itself."""
+    return F.coalesce(irregular(word), F.get(lemma_candidates(word), F.lit(0)), F.lower(word))
+
+
+def contains_letter(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def is_past_form(word: Column) -> Column:
     w = F.lower(word)
     return (F.length(w) >= 3) & (w.isin(sorted(PAST_FORMS)) | (w.endswith("ed") & (F.length(w) > 3)))

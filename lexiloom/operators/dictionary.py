@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexiloom.functions.text import collapse_spaces, is_junk_gloss, lemma_candidates, normalize_headword, word_count
+from lexiloom.operators.ordered import numbered
 
 NO_PRIORITY = 2_147_483_647
 
@@ -182,3 +183,45 @@ def dictionary_stats(entries: DataFrame) -> DataFrame:
 
 def usable_glosses(glosses: DataFrame) -> DataFrame:
     return glosses.filter(~is_junk_gloss(F.col("gloss"))).withColumn("gloss", collapse_spaces(F.col("gloss")))
+
+
+def lookup_entries(queries: DataFrame, entries: DataFrame, sources: DataFrame) -> DataFrame:
+    """Every entry of each query's key of enabled sources, with its ``source_priority``."""
+    return apply_sources(lookup_all(queries, entries), sources)
+
+
+def dump(entries: DataFrame, headword: str) -> DataFrame:
+    """All entries of a headword."""
+    one = entries.sparkSession.createDataFrame([(headword,)], "raw string").select(normalize_headword(F.col("raw")).alias("headword_norm"))
+    return entries.join(F.broadcast(one), "headword_norm", "left_semi")
+
+
+def with_ordinals(entries: DataFrame) -> DataFrame:
+    """The entries with their number in the order of the dictionary, from 0."""
+    return numbered(entries, ["headword_norm", "source_id", "source_line", "entry_id"], "ordinal")
+
+
+def entries_at(ordinals: DataFrame, entries: DataFrame) -> DataFrame:
+    """Entries by number; one out of bounds gives none. ``entries`` has its ``ordinal``."""
+    return ordinals.select("ordinal").join(entries, "ordinal")
+
+
+def set_enabled(sources: DataFrame, source_id: int, on: bool) -> DataFrame:
+    return sources.withColumn("enabled", F.when(F.col("id") == source_id, F.lit(int(on)).cast(sources.schema["enabled"].dataType)).otherwise(F.col("enabled")))
+
+
+def source_totals(entries: DataFrame, sources: DataFrame) -> DataFrame:
+    """``(source_id, declared, found)``: entries of each source by catalogue and in fact."""
+    found = entries.groupBy("source_id").agg(F.count("*").alias("found"))
+    both = sources.select(F.col("id").alias("source_id"), F.col("entries").alias("declared")).join(found, "source_id", "full")
+    return both.select("source_id", "declared", F.coalesce("found", F.lit(0)).alias("found"))
+
+
+def idiom_focus(queries: DataFrame, entries: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """``(query_id, entry_id, idiom_no, phrase, glosses)``: the idioms that a query of several
+    words names, with or without a leading ``to``, of the entries found for it."""
+    some = entries if sources is None else apply_sources(entries, sources)
+    hits = lookup_all(queries, some).filter(F.instr("key", " ") > 0)
+    idioms = hits.select("query_id", "key", "entry_id", F.posexplode("idioms").alias("idiom_no", "i")).withColumn("k", normalize_headword(F.col("i.phrase")))
+    mine = idioms.filter((F.col("k") == F.col("key")) | (F.col("k") == F.concat(F.lit("to "), F.col("key"))) | (F.concat(F.lit("to "), F.col("k")) == F.col("key")))
+    return mine.select("query_id", "entry_id", "idiom_no", F.col("i.phrase").alias("phrase"), F.col("i.glosses").alias("glosses"))

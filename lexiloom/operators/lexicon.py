@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexiloom.functions.text import dequantize, english_tokens, gloss_alternatives, quantize, split_tokens
+from lexiloom.operators.ordered import numbered
 from lexiloom.operators.skew import lookup
 from lexiloom.session import checkpointed
 
@@ -58,9 +59,49 @@ def em_step(cells: DataFrame, t: DataFrame | None) -> DataFrame:
     return counts.join(totals, "e").select("e", "f", (F.col("c") / F.col("total")).alias("t"), "n")
 
 
-def train(pairs: DataFrame, iterations: int = 4, most_tokens: int = 20, cut: bool = True) -> DataFrame:
-    """``(e, f, t)`` after some iterations; lineage is cut by checkpoints in between."""
-    cells = cooccurrence(usable_pairs(pairs, most_tokens))
+def english_vocabulary(entries: DataFrame) -> DataFrame:
+    """``(word)``: the words of headwords and idioms, of letters a to z and apostrophes."""
+    phrases = F.concat(F.array("headword_norm"), F.transform(F.coalesce("idioms", F.array()), lambda i: i["phrase"]))
+    words = entries.select(F.explode(F.flatten(F.transform(phrases, lambda p: english_tokens(F.coalesce(p, F.lit("")))))).alias("word"))
+    return words.filter(F.col("word").rlike("^[a-z']{1,30}$")).distinct()
+
+
+def vietnamese_vocabulary(entries: DataFrame) -> DataFrame:
+    """``(word)``: the syllables of all glosses."""
+    of = lambda xs: F.flatten(F.transform(F.coalesce(xs, F.array()), lambda x: F.coalesce(x["glosses"], F.array().cast("array<string>"))))
+    glosses = F.concat(of(F.col("senses")), of(F.col("idioms")))
+    return entries.select(F.explode(F.flatten(F.transform(glosses, lambda g: split_tokens(F.coalesce(g, F.lit("")))))).alias("word")).distinct()
+
+
+def vocabulary_ids(words: DataFrame) -> DataFrame:
+    """``(word, id)``: ids from 1 in the order of the words; 0 is any other word."""
+    return numbered(words.select("word").distinct(), ["word"], "id").select("word", (F.col("id") + 1).alias("id"))
+
+
+def restricted(pairs: DataFrame, column: str, words: DataFrame) -> DataFrame:
+    """Tokenized pairs whose ``column`` has the empty word for each word not in ``words``.
+
+    Frequent words meet a bounded broadcast. Repeated line numbers stay lines of their own.
+    """
+    rows = checkpointed(pairs.withColumn("_row", F.monotonically_increasing_id()))
+    tokens = rows.select("_row", F.posexplode(column).alias("_at", "word"))
+    known = tokens.groupBy("word").agg(F.count("*").alias("n")).join(words.select("word").distinct(), "word", "left_semi")
+    mapped = lookup(tokens, checkpointed(known).withColumn("known", F.col("word")), "word", ["known"], ["_row", "_at"], "n")
+    lists = mapped.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", F.coalesce("known", F.lit(NULL_WORD)).alias("w")))), lambda x: x["w"]).alias("_mapped"))
+    return rows.join(lists, "_row").withColumn(column, F.col("_mapped")).drop("_row", "_mapped")
+
+
+def train(pairs: DataFrame, iterations: int = 4, most_tokens: int = 20, cut: bool = True, english: DataFrame | None = None, vietnamese: DataFrame | None = None) -> DataFrame:
+    """``(e, f, t)`` after some iterations; lineage is cut by checkpoints in between.
+
+    With vocabularies, words outside of them are one word on either side: on the English
+    side they share the empty word's row, on the Vietnamese side they are dropped at the
+    end.
+    """
+    lines = usable_pairs(pairs, most_tokens)
+    for column, words in (("en", english), ("vi", vietnamese)):
+        lines = lines if words is None else restricted(lines, column, words)
+    cells = cooccurrence(lines)
     if cut:
         cells = checkpointed(cells)
     t = None
@@ -68,7 +109,7 @@ def train(pairs: DataFrame, iterations: int = 4, most_tokens: int = 20, cut: boo
         t = em_step(cells, t)
         if cut and i + 1 < iterations:
             t = checkpointed(t)
-    return t.drop("n")
+    return t.filter(F.col("f") != NULL_WORD).drop("n")
 
 
 def top_translations(table: DataFrame, k: int = 16, least: float = 0.005) -> DataFrame:
@@ -92,6 +133,13 @@ def score_glosses(glosses: DataFrame, lexicon: DataFrame) -> DataFrame:
     return per.groupBy("id").agg(F.round(F.max("s"), 6).alias("score"))
 
 
+def probabilities(asked: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``asked`` = ``(en, vi)`` with the probability ``p`` of each pair, 0 where unknown."""
+    table = lexicon.select(F.col("e").alias("_e"), F.col("f").alias("_f"), dequantize(F.col("q")).alias("_p"))
+    out = asked.join(table, (F.lower("en") == F.col("_e")) & (F.col("vi") == F.col("_f")), "left")
+    return out.select(*asked.columns, F.coalesce("_p", F.lit(0.0)).alias("p"))
+
+
 def format_translations(lexicon: DataFrame) -> DataFrame:
     """One line a word: ``token(0.123)`` in order."""
     shown: Column = F.format_string("%s(%.3f)", "f", dequantize(F.col("q")))

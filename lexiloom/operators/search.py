@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexiloom.functions.text import bm25, bm25_boost, bm25_idf, gloss_alternatives, remove_diacritics, split_tokens, trigrams, word_count
+from lexiloom.operators.dictionary import apply_sources
 
 
 #: Asked terms up to which they are looked for within a row instead of by a join.
@@ -67,21 +68,30 @@ def top_per_query(scored: DataFrame, k: int, score: str = "score", tie: str = "d
     return scored.withColumn(score, F.round(score, 6)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def search_vietnamese(entries: DataFrame, queries: DataFrame, k: int = 20, fold: bool = False) -> DataFrame:
-    """Reverse search: BM25 over glosses, boosted, times the squared share of terms met.
+def route(queries: DataFrame) -> DataFrame:
+    """``(query_id, query, fold, q, tokens)``: a query without accents is asked without."""
+    plain = remove_diacritics(F.col("query")) == F.col("query")
+    q = F.lower(F.col("query"))
+    return queries.select("query_id", "query", plain.alias("fold"), q.alias("q"), split_tokens(q).alias("tokens"))
 
-    ``queries`` is ``(query_id, query)``. Boosts: the query is a whole synonym, it stands
-    in a first gloss, the headword is one word, the headword is short. Weights beyond the
-    boosts are this project's choice.
+
+def _glosses(xs: Column, display: Column | None = None) -> Column:
+    """The glosses of senses or idioms in order, each with what is shown as its word."""
+    shown = (lambda x: x["phrase"]) if display is None else (lambda x: display)
+    return F.flatten(F.transform(F.coalesce(xs, F.array()), lambda x: F.transform(F.coalesce(x["glosses"], F.array().cast("array<string>")), lambda g: F.struct(shown(x).alias("display"), g.alias("gloss")))))
+
+
+def rank_hits(hits: DataFrame, entries: DataFrame, asked: DataFrame, k: int, fold: bool, sources: DataFrame | None = None) -> DataFrame:
+    """The best ``k`` hits of each query, boosted, of enabled sources only.
+
+    ``hits`` is ``(query_id, doc_id, score, matched, asked)``, ``asked`` ``(query_id, q)``.
     """
-    prepared = queries.withColumn("q", F.lower(remove_diacritics(F.col("query")) if fold else F.col("query")))
-    terms = prepared.select("query_id", "q", split_tokens(F.col("q")).alias("tokens"))
-    hits = bm25_scores(gloss_documents(entries, fold), terms.select("query_id", "tokens"))
     folded = (lambda c: F.lower(remove_diacritics(c))) if fold else F.lower
+    some = entries if sources is None else apply_sources(entries, sources)
     glosses = F.flatten(F.transform(F.coalesce("senses", F.array()), lambda s: F.coalesce(s["glosses"], F.array().cast("array<string>"))))
     first = F.transform(F.coalesce("senses", F.array()), lambda s: F.coalesce(F.get(s["glosses"], F.lit(0)), F.lit("")))
-    info = entries.select(F.col("entry_id").alias("doc_id"), "headword", "headword_norm", glosses.alias("glosses"), first.alias("firsts"))
-    joined = hits.join(info, "doc_id").join(terms.select("query_id", "q"), "query_id")
+    info = some.select(F.col("entry_id").alias("doc_id"), "headword", "headword_norm", glosses.alias("glosses"), first.alias("firsts"))
+    joined = hits.join(info, "doc_id").join(asked.select("query_id", "q"), "query_id")
     whole = F.exists("glosses", lambda g: F.array_contains(gloss_alternatives(folded(F.coalesce(g, F.lit("")))), F.col("q")))
     primary = F.exists("firsts", lambda g: F.contains(folded(g), F.col("q")))
     boost = bm25_boost(whole, primary, word_count(F.col("headword_norm")) == 1, F.length("headword_norm"))
@@ -89,6 +99,34 @@ def search_vietnamese(entries: DataFrame, queries: DataFrame, k: int = 20, fold:
     return top_per_query(scored.select("query_id", "doc_id", "headword", "score"), k)
 
 
+def show_hits(best: DataFrame, entries: DataFrame, asked: DataFrame, fold: bool) -> DataFrame:
+    """Ranked hits with the gloss that matched and what is shown as its word.
+
+    That is the gloss with most of the query's terms, the earliest of several; one of an
+    idiom shows the whole idiom.
+    """
+    terms = F.array_distinct("tokens")
+    info = entries.select(F.col("entry_id").alias("doc_id"), F.concat(_glosses(F.col("senses"), F.col("headword")), _glosses(F.col("idioms"))).alias("_glosses"))
+    joined = best.join(info, "doc_id").join(asked.select("query_id", "tokens"), "query_id")
+    text = lambda g: F.coalesce(remove_diacritics(g) if fold else g, F.lit(""))
+    scored = F.transform("_glosses", lambda g, i: F.struct((-F.size(F.array_intersect(split_tokens(text(g["gloss"])), terms))).alias("m"), i.alias("i"), g["display"].alias("display"), g["gloss"].alias("gloss")))
+    top = F.array_min(scored)
+    return joined.select(*best.columns, top["display"].alias("display"), top["gloss"].alias("matched_gloss"))
+
+
+def search_vietnamese(entries: DataFrame, queries: DataFrame, k: int = 20, fold: bool = False, sources: DataFrame | None = None) -> DataFrame:
+    """Reverse search: BM25 over glosses, boosted, times the squared share of terms met.
+
+    ``queries`` is ``(query_id, query)``. Boosts: the query is a whole synonym, it stands
+    in a first gloss, the headword is one word, the headword is short. Weights beyond the
+    boosts are this project's choice.
+    """
+    prepared = queries.withColumn("q", F.lower(remove_diacritics(F.col("query")) if fold else F.col("query")))
+    terms = prepared.select("query_id", "q", split_tokens(F.col("q")).alias("tokens"))
+    hits = bm25_scores(gloss_documents(entries, fold), terms.select("query_id", "tokens"))
+    return rank_hits(hits, entries, terms, k, fold, sources)
+
+
 def fuzzy_english(entries: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Headwords nearest to each query by their letter triples; ties to the lower id.
 
@@ -132,10 +170,21 @@ def suggest(words: DataFrame, queries: DataFrame, k: int = 5, least: float = 0.5
 
 
 def expand_compounds(tokens: DataFrame, words: DataFrame) -> DataFrame:
-    """``(doc_id, pos, term)``: the syllables and the compounds they form, joined by ``_``."""
-    base = tokens.select("doc_id", F.posexplode("tokens").alias("pos", "term"), "tokens")
-    grams = base.select("doc_id", "pos", F.explode(F.transform(F.filter(F.array(F.lit(2), F.lit(3)), lambda n: F.col("pos") + n <= F.size("tokens")), lambda n: F.array_join(F.slice("tokens", F.col("pos") + 1, n), " "))).alias("compound"))
-    found = grams.join(words.select("compound"), "compound", "left_semi").select("doc_id", "pos", F.replace("compound", F.lit(" "), F.lit("_")).alias("term"))
-    return base.select("doc_id", "pos", "term").unionByName(found)
+    """``(doc_id, pos, term)``: the syllables and the compounds they form, joined by ``_``.
+
+    The runs of two and three are made within the row, so that none carries the document.
+    """
+    grams = lambda n: F.transform(F.slice("tokens", F.lit(1), F.greatest(F.size("tokens") - n + 1, F.lit(0))), lambda _, i: F.struct(i.alias("pos"), F.array_join(F.slice("tokens", i + 1, n), " ").alias("compound")))
+    found = tokens.select("doc_id", F.inline(F.concat(grams(2), grams(3)))).join(words.select("compound"), "compound", "left_semi")
+    found = found.select("doc_id", "pos", F.replace("compound", F.lit(" "), F.lit("_")).alias("term"))
+    return tokens.select("doc_id", F.posexplode("tokens").alias("pos", "term")).unionByName(found)
+
+
+def accent_forms(terms: DataFrame) -> DataFrame:
+    """``(folded, forms)``: the accented forms of each accent-free term, in order."""
+    return terms.select("term").distinct().groupBy(remove_diacritics(F.col("term")).alias("folded")).agg(F.sort_array(F.collect_list("term")).alias("forms"))
 
 
+def longest_postings(posts: DataFrame) -> int:
+    """The number of postings of the commonest term."""
+    return doc_frequency(posts).agg(F.max("df")).first()[0] or 0

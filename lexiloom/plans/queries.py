@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.functions import segment, text
-from lexiloom.operators import dictionary, gloss, history, lexicon, search, subword, translate
+from lexiloom.operators import dictionary, gloss, history, lexicon, search, service, subword, translate
 from lexiloom.operators.packed import packed_glosses
 from lexiloom.operators.parse_rows import failed_rows, valid_rows
+from lexiloom.session import checkpointed, ensure_checkpoint_dir
+from lexiloom.sources import store
 from lexiloom.sources.files import tsv_entries
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -245,7 +248,7 @@ def lemma_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def resolve_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = _table(spark, sf_dir, "lookup_history").filter(F.lower("mode") == "word").select(F.lower("query").alias("query")).filter(F.col("query").rlike(r"\S")).distinct()
+    asked = _table(spark, sf_dir, "lookup_history").select(F.lower("query").alias("query")).filter(F.col("query").rlike(r"\S")).distinct()
     got = dictionary.resolve(asked.select(F.col("query").alias("query_id"), "query"), _table(spark, sf_dir, "entries"), _table(spark, sf_dir, "dict_sources"))
     return got.groupBy(F.col("query_id").alias("query"), "form", "via_lemma").agg(F.count("*").alias("entries"))
 
@@ -259,7 +262,7 @@ def candidate_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def phrase_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = _table(spark, sf_dir, "entries")
-    return dictionary.phrase_candidates(entries, dictionary.alias_keys(entries).select("key", "entry_id")).select("key", "rank", "gloss", "score")
+    return dictionary.phrase_candidates(entries, dictionary.all_keys(entries).select("key", "entry_id")).select("key", "rank", "gloss", "score")
 
 
 @query
@@ -331,8 +334,8 @@ def em_iteration_1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def em_model1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cells of 0.01 and more, as the SQL has it; ``em_model1_whole`` has all."""
-    return _lexicon(spark, sf_dir, 4).select("e", "f", F.round("t", 4).alias("t")).filter(F.col("t") >= 0.01)
+    """The cells of 0.005 and more, where the lexicon is cut; ``em_model1_whole`` has all."""
+    return _lexicon(spark, sf_dir, 4).select("e", "f", F.round("t", 6).alias("t")).filter(F.col("t") >= 0.005)
 
 
 @query
@@ -377,6 +380,161 @@ def tsv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source_id", "source_line", "headword", F.col("senses")[0]["glosses"][0].alias("gloss"), F.col("senses")[0]["pos"].alias("pos"))
 
 
+@query
+def accent_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = _docs(spark, sf_dir).select(F.explode("tokens").alias("term"))
+    return search.accent_forms(terms).select("folded", F.array_join("forms", " ").alias("forms"))
+
+
+@query
+def source_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary.source_totals(_table(spark, sf_dir, "entries"), _table(spark, sf_dir, "dict_sources"))
+
+
+@query
+def source_set_enabled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    off = dictionary.set_enabled(_table(spark, sf_dir, "dict_sources"), 2, False)
+    rows = dictionary.apply_sources(_table(spark, sf_dir, "entries").select("entry_id", "source_id"), off)
+    return rows.groupBy("source_id").agg(F.count("*").alias("n"))
+
+
+@query
+def source_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dictionary.lookup_entries(_asked(spark, LOOKUPS), _table(spark, sf_dir, "entries"), _table(spark, sf_dir, "dict_sources"))
+    return found.select("query_id", "key", "entry_id", "source_priority")
+
+
+@query
+def entry_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary.with_ordinals(_table(spark, sf_dir, "entries")).select("ordinal", "entry_id")
+
+
+@query
+def idiom_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _table(spark, sf_dir, "lookup_history").select(F.col("query").alias("query_id"), "query").filter(F.col("query").contains(" ")).distinct()
+    found = dictionary.idiom_focus(asked, _table(spark, sf_dir, "entries"))
+    return found.groupBy(F.col("query_id").alias("query")).agg(F.count("*").alias("idioms"), F.count_distinct("entry_id").alias("entries"))
+
+
+@query
+def word_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _asked(spark, (*LOOKUPS, (6, "gardning"), (7, "weigh the old scales"), (8, "running")))
+    return service.word_cascade(asked, _table(spark, sf_dir, "entries"), _table(spark, sf_dir, "dict_sources"))
+
+
+@query
+def english_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.vocabulary_ids(lexicon.english_vocabulary(_table(spark, sf_dir, "entries")))
+
+
+@query
+def vietnamese_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.vocabulary_ids(lexicon.vietnamese_vocabulary(_table(spark, sf_dir, "entries")))
+
+
+@query
+def em_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training on the dictionary's words only: two iterations, the whole table."""
+    entries = _table(spark, sf_dir, "entries")
+    t = lexicon.train(_table(spark, sf_dir, "parallel_pairs"), 2, english=lexicon.english_vocabulary(entries), vietnamese=lexicon.vietnamese_vocabulary(entries))
+    return t.select("e", "f", F.round("t", 6).alias("t"))
+
+
+@query
+def lexicon_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = lexicon.top_translations(_lexicon(spark, sf_dir, 4))
+    asked = _glosses(spark, sf_dir).join(_table(spark, sf_dir, "entries").select("entry_id", F.col("headword_norm").alias("en")), "entry_id")
+    asked = asked.select("en", F.explode(text.split_tokens(F.col("gloss"))).alias("vi")).distinct()
+    return lexicon.probabilities(asked, table).select("en", "vi", F.round("p", 6).alias("p"))
+
+
+@query
+def gloss_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = F.col("gloss")
+    return _glosses(spark, sf_dir).distinct().select("entry_id", "gloss", text.shorten(g).alias("short"), text.is_junk_gloss(g).alias("junk"), text.normalize_vietnamese(g).alias("plain"))
+
+
+@query
+def usable_glosses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary.usable_glosses(_glosses(spark, sf_dir)).groupBy("gloss").agg(F.count("*").alias("n"))
+
+
+@query
+def history_described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.described(_log(spark, sf_dir), 2024)
+
+
+@query
+def history_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = history.matching(_log(spark, sf_dir), "SET")
+    return rows.groupBy("mode", "query", text.looks_like_sentence(F.col("query")).alias("sentence"), text.paste_normalize(F.col("query")).alias("pasted")).agg(F.count("*").alias("n"))
+
+
+@query
+def history_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.compact(history.explicit(_table(spark, sf_dir, "lookup_history")), 1000, 2000)
+
+
+@query
+def paragraph_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return service.paragraph_pieces(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text"))
+
+
+def _store(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The store of a folder's entries, built once an application in the shared folder."""
+    name = hashlib.md5(f"{spark.sparkContext.applicationId}:{sf_dir}".encode()).hexdigest()  # noqa: S324
+    folder = f"{ensure_checkpoint_dir(spark)}/store-{name}"
+    if store.locate(spark, [folder]) is None:
+        files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        store.write_store(_table(spark, sf_dir, "entries"), folder, files, _table(spark, sf_dir, "dict_sources"))
+    return store.read_store(spark, folder)
+
+
+@query
+def store_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _store(spark, sf_dir)
+    return parts["postings"].groupBy("index").agg(F.count("*").alias("postings"), F.count_distinct("term").alias("terms"))
+
+
+@query
+def store_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _each(_asking_glosses(spark, sf_dir), lambda q: store.search(_store(spark, sf_dir), q, 10))
+
+
+@query
+def store_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.fuzzy(_store(spark, sf_dir), _asked(spark, FUZZY), 10)
+
+
+@query
+def store_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.verify(_store(spark, sf_dir))
+
+
+def _glossed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _table(spark, sf_dir, "parallel_pairs").select(F.col("line_no").alias("sentence_id"), F.col("en").alias("sentence"))
+    return gloss.gloss_sentences(pairs, _table(spark, sf_dir, "entries"), _table(spark, sf_dir, "dict_sources"))
+
+
+@query
+def resolved_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return service.resolved_ratio(_glossed(spark, sf_dir))
+
+
+@query
+def flat_gloss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return service.flat_gloss(_glossed(spark, sf_dir))
+
+
+@query
+def gloss_segments_likely(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Glosses in the order of the lexicon's likelihood."""
+    pairs = _table(spark, sf_dir, "parallel_pairs").select(F.col("line_no").alias("sentence_id"), F.col("en").alias("sentence"))
+    table = checkpointed(lexicon.top_translations(_lexicon(spark, sf_dir, 4)))
+    made = gloss.gloss_sentences(pairs, _table(spark, sf_dir, "entries"), _table(spark, sf_dir, "dict_sources"), lexicon=table)
+    return made.select("sentence_id", F.posexplode("segments").alias("segment_no", "s")).select("sentence_id", "segment_no", "s.source", "s.kind", F.get("s.candidates", F.lit(0))["gloss"].alias("gloss"))
+
+
 @query
 def gloss_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _table(spark, sf_dir, "parallel_pairs").select(F.col("line_no").alias("sentence_id"), F.col("en").alias("sentence"))

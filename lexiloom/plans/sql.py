@@ -75,8 +75,19 @@ _PAIRS = r"""p AS (SELECT line_no, regexp_extract_all(lower(en), '[\p{L}\p{Nd}''
  cells AS (SELECT * FROM ec JOIN fc USING (line_no))"""
 
 
-def _em(iterations: int) -> str:
-    out = f"WITH {_PAIRS}, t0 AS (SELECT DISTINCT e, f, 1.0::DOUBLE AS t FROM cells)"
+_TOP = """pt AS (SELECT e, f, round(t, 6) AS p FROM t4 WHERE round(t, 6) >= 0.005 AND e <> ''), rt AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY p DESC, f) AS rank FROM pt),
+ top AS (SELECT e, f, rank, greatest(0, least(65535, round(p * 65535.0::DOUBLE)))::INT AS q FROM rt WHERE rank <= 16)"""
+_ENGLISH = r"""ph AS (SELECT headword_norm AS p FROM entries UNION ALL SELECT unnest(list_transform(idioms, lambda i: i.phrase)) FROM entries),
+ ew AS (SELECT unnest(regexp_extract_all(lower(p), '[\p{L}\p{Nd}'']+')) AS word FROM ph), envoc AS (SELECT DISTINCT word FROM ew WHERE regexp_full_match(word, '[a-z'']{1,30}'))"""
+_VIETNAMESE = f"{_ALL_GLOSS}, vw AS (SELECT unnest({_tokens('gloss')}) AS word FROM ag WHERE gloss IS NOT NULL), vivoc AS (SELECT DISTINCT word FROM vw)"
+
+
+def _em(iterations: int, vocabulary: bool = False) -> str:
+    pairs = _PAIRS
+    if vocabulary:
+        pairs = f"{_ENGLISH}, {_VIETNAMESE}, {pairs}".replace("SELECT line_no, unnest(list_prepend('', en)) AS e FROM u", "SELECT line_no, coalesce(word, '') AS e FROM (SELECT line_no, unnest(list_prepend('', en)) AS w FROM u) LEFT JOIN envoc ON word = w")
+        pairs = pairs.replace("SELECT line_no, unnest(vi) AS f FROM u", "SELECT line_no, coalesce(word, '') AS f FROM (SELECT line_no, unnest(vi) AS w FROM u) LEFT JOIN vivoc ON word = w")
+    out = f"WITH {pairs}, t0 AS (SELECT DISTINCT e, f, 1.0::DOUBLE AS t FROM cells)"
     for i in range(iterations):
         out += f""", x{i} AS (SELECT e, f, nf * ne * t / sum(ne * t) OVER (PARTITION BY line_no, f) AS c FROM cells JOIN t{i} USING (e, f)),
  c{i} AS (SELECT e, f, sum(c) AS c FROM x{i} GROUP BY 1, 2), t{i + 1} AS (SELECT e, f, c / sum(c) OVER (PARTITION BY e) AS t FROM c{i})"""
@@ -95,13 +106,14 @@ def _parse() -> str:
     return rf"""WITH a AS (SELECT line_id, replace(regexp_replace(regexp_replace(raw_line, '^\x{{FEFF}}', ''), '\r$', ''), '""', '{chr(0xFDD0)}') AS t FROM tsv_lines),
  b AS (SELECT * FROM a WHERE t IS NOT NULL AND regexp_matches(t, '[^\t-\r \p{{Z}}]') AND NOT starts_with(t, '#')),
  c AS (SELECT *, regexp_full_match(t, '{field}(?:\t{field})*') AS whole, list_transform(regexp_extract_all(chr(9) || t, '\t({field})'), lambda x: substr(x, 2)) AS f FROM b),
- d AS (SELECT line_id, whole, len(f) AS n, {value(1)} AS h, {value(2)} AS g FROM c),
- r AS (SELECT line_id, CASE WHEN NOT whole THEN 'broken_quote' WHEN n NOT BETWEEN 2 AND 3 THEN 'column_count'
+ d AS (SELECT line_id, whole, len(f) AS n, {value(1)} AS h, {value(2)} AS g, {value(3)} AS p FROM c),
+ r AS (SELECT line_id, h, g, p, CASE WHEN NOT whole THEN 'broken_quote' WHEN n NOT BETWEEN 2 AND 3 THEN 'column_count'
   WHEN {wrong('h')} OR {wrong('g')} OR lower(trim(regexp_replace(g, '^[ \p{{Z}}\x0b\f]+|[ \p{{Z}}\x0b\f]+$', '', 'g'))) IN ({marks}) OR trim(g) IN ({exact}) THEN 'bad_value' END AS reason FROM d)"""
 
 
 SQL: dict[str, str] = {
     "p4_found": f"{_parse()} SELECT line_id, reason FROM r WHERE reason IS NOT NULL",
+    "p4_rows": rf"{_parse()} SELECT line_id, h AS headword, g AS gloss, CASE WHEN regexp_matches(p, '[^\t-\r \p{{Z}}]') THEN p END AS pos FROM r WHERE reason IS NULL",
     "tokens_count": f"WITH {_DOCS} SELECT count(*) AS tokens, count(DISTINCT term) AS terms FROM tok",
     "term_frequency": f"WITH {_DOCS} SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY 1, 2",
     "doc_frequency_idf": f"WITH {_DOCS}, d AS (SELECT term, count(DISTINCT doc_id) AS df FROM tok GROUP BY 1) SELECT term, df, round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM d, (SELECT count(*) AS n FROM documents)",
@@ -149,6 +161,42 @@ SQL: dict[str, str] = {
     "stride_sample": r"""WITH p AS (SELECT line_no, len(regexp_extract_all(lower(en), '[\p{L}\p{Nd}'']+')) AS en_tokens, len(regexp_extract_all(lower(vi), '[\p{L}\p{Nd}]+')) AS vi_tokens FROM parallel_pairs), m AS (SELECT greatest(1, max(line_no) // 1000) AS s FROM p)
  SELECT line_no, en_tokens::INT AS en_tokens, vi_tokens::INT AS vi_tokens FROM p, m WHERE (line_no - 1) % s = 0 AND en_tokens BETWEEN 1 AND 20 AND vi_tokens BETWEEN 1 AND 20 ORDER BY line_no LIMIT 1000""",
     "em_iteration_1": f"{_em(1)} SELECT e, f, round(t, 6) AS t FROM t1",
-    "em_model1": f"{_em(4)} SELECT e, f, round(t, 4) AS t FROM t4 WHERE round(t, 4) >= 0.01",
+    "em_model1": f"{_em(4)} SELECT e, f, round(t, 6) AS t FROM t4 WHERE round(t, 6) >= 0.005",
+    "lexicon_topk": f"{_em(4)}, {_TOP} SELECT e, string_agg(printf('%s(%.3f)', f, q / 65535.0::DOUBLE), ' ' ORDER BY rank) AS translations FROM top GROUP BY 1",
+    "lexicon_probability": f"{_em(4)}, {_TOP}, {_GLOSS}, ask AS (SELECT DISTINCT headword_norm AS en, unnest({_tokens('gloss')}) AS vi FROM gl JOIN entries USING (entry_id)) SELECT en, vi, round(coalesce(q / 65535.0::DOUBLE, 0), 6) AS p FROM ask LEFT JOIN top ON top.e = lower(en) AND top.f = vi",
+    "lexicon_score_gloss": f"""{_em(4)}, {_TOP}, s AS (SELECT entry_id, headword_norm, unnest(range(0, len(senses))) AS sense_no, unnest(senses) AS s FROM entries),
+ g AS (SELECT entry_id, headword_norm, sense_no, unnest(range(0, len(s.glosses))) AS gloss_no, unnest(s.glosses) AS gloss FROM s), al AS (SELECT *, {_alternatives('gloss')} AS alts FROM g WHERE gloss IS NOT NULL),
+ a AS (SELECT entry_id, headword_norm, sense_no, gloss_no, unnest(range(0, len(alts))) AS alt_no, unnest(alts) AS alt FROM al), w AS (SELECT *, {_tokens('alt')} AS ws FROM a), t AS (SELECT *, len(ws) AS n, unnest(ws) AS f2 FROM w),
+ m AS (SELECT entry_id, sense_no, gloss_no, alt_no, sum(q / 65535.0::DOUBLE) / sqrt(any_value(n)) AS score FROM t JOIN top ON top.e = lower(headword_norm) AND top.f = f2 GROUP BY 1, 2, 3, 4)
+ SELECT entry_id, sense_no::INT AS sense_no, gloss_no::INT AS gloss_no, round(max(score), 6) AS score FROM m GROUP BY 1, 2, 3""",
+    "english_vocabulary": f"WITH {_ENGLISH} SELECT word, row_number() OVER (ORDER BY word) AS id FROM envoc",
+    "vietnamese_vocabulary": f"WITH {_VIETNAMESE} SELECT word, row_number() OVER (ORDER BY word) AS id FROM vivoc",
+    "em_vocabulary": f"{_em(2, True)} SELECT e, f, round(t, 6) AS t FROM t2 WHERE f <> ''",
+    "accent_forms": f"WITH {_DOCS}, d AS (SELECT DISTINCT term FROM tok) SELECT {_fold('term')} AS folded, string_agg(term, ' ' ORDER BY term) AS forms FROM d GROUP BY 1",
+    "source_totals": "WITH f AS (SELECT source_id, count(*) AS found FROM entries GROUP BY 1) SELECT coalesce(c.id, f.source_id) AS source_id, c.entries AS declared, coalesce(found, 0) AS found FROM dict_sources c FULL JOIN f ON c.id = f.source_id",
+    "source_set_enabled": "SELECT source_id, count(*) AS n FROM entries e LEFT JOIN dict_sources c ON c.id = e.source_id WHERE source_id <> 2 AND coalesce(c.enabled = 1, true) GROUP BY 1",
+    "source_lookup": f"WITH {_KEYS}, {_LOOKUP} SELECT query_id, key, entry_id, {_CATALOG} AS source_priority FROM asked JOIN keys USING (key) JOIN entries e USING (entry_id) LEFT JOIN dict_sources c ON c.id = e.source_id WHERE coalesce(c.enabled = 1, true)",
+    "entry_ordinals": "SELECT row_number() OVER (ORDER BY headword_norm, source_id, source_line, entry_id) - 1 AS ordinal, entry_id FROM entries",
+    "idiom_focus": f"""WITH {_KEYS}, asked AS (SELECT DISTINCT query, {_norm('query')} AS key FROM lookup_history WHERE contains(query, ' ')), h AS (SELECT query, key, entry_id FROM asked JOIN keys USING (key) WHERE contains(key, ' ')),
+ m AS (SELECT h.query, ik.entry_id FROM h JOIN ik USING (entry_id) WHERE ik.k = h.key OR ik.k = 'to ' || h.key OR 'to ' || ik.k = h.key) SELECT query, count(*) AS idioms, count(DISTINCT entry_id) AS entries FROM m GROUP BY 1""",
+    "gloss_functions": rf"""WITH {_GLOSS}, d AS (SELECT DISTINCT * FROM gl WHERE gloss IS NOT NULL) SELECT entry_id, gloss, coalesce({_alternatives('gloss')}[1], {_collapse('gloss')}) AS short, (NOT regexp_matches(gloss, '[^ \t\n\x0b\f\r]') OR contains(gloss, '<')) AS junk,
+ {_fold(r"lower(regexp_replace(gloss, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g'))")} AS plain FROM d""",
+    "usable_glosses": rf"WITH {_GLOSS} SELECT {_collapse('gloss')} AS gloss, count(*) AS n FROM gl WHERE regexp_matches(gloss, '[^ \t\n\x0b\f\r]') AND NOT contains(gloss, '<') GROUP BY 1",
+    "history_described": rf"""WITH {_LOG}, p AS (SELECT *, regexp_replace(trim(query), '[ \t\n\x0b\f\r]+', ' ', 'g') AS line, to_timestamp(epoch_second) AT TIME ZONE 'UTC' AS at FROM lg)
+ SELECT epoch_second, mode, query, CASE WHEN year(at) = 2024 THEN strftime(at, '%d/%m %H:%M') ELSE strftime(at, '%d/%m/%Y %H:%M') END AS time, CASE WHEN length(line) > 110 THEN substr(line, 1, 110) || '…' ELSE line END AS preview FROM p""",
+    "history_matching": rf"""WITH {_LOG} SELECT mode, query, len(regexp_split_to_array(trim(query), '[ \t\n\x0b\f\r]+')) >= 4 AS sentence, regexp_replace(query, '[ \t\n\x0b\f\r]*[\r\n]+[ \t\n\x0b\f\r]*', ' ', 'g') AS pasted, count(*) AS n FROM lg WHERE contains(lower(query), 'set') GROUP BY 1, 2, 3, 4""",
+    "history_compact": f"""WITH {_LOG}, d AS (SELECT DISTINCT * FROM lg), b AS (SELECT *, lag((mode, query)) OVER (ORDER BY epoch_second, mode, query) AS b FROM d), k AS (SELECT epoch_second, mode, query FROM b WHERE b IS NULL OR b <> (mode, query)),
+ n AS (SELECT count(*) AS n FROM k), r AS (SELECT *, row_number() OVER (ORDER BY epoch_second DESC, mode, query) AS r FROM k) SELECT epoch_second, mode, query FROM r, n WHERE n <= 2000 OR r <= 1000""",
+    "tsv_scan": rf"""WITH l AS (SELECT source_id, line_no, regexp_replace(raw_line, '^\x{{FEFF}}', '') AS t FROM tsv_lines WHERE regexp_matches(raw_line, '[^ \t\n\x0b\f\r]')), f AS (SELECT *, string_split(t, chr(9)) AS f FROM l WHERE NOT starts_with(t, '#')),
+ v AS (SELECT source_id, line_no AS source_line, list_transform(f, lambda x: trim(regexp_replace(x, '[\r\n]+$', ''))) AS f FROM f) SELECT source_id, source_line, f[1] AS headword, f[2] AS gloss, CASE WHEN f[3] <> '' THEN f[3] END AS pos FROM v WHERE f[1] <> '' AND f[2] <> ''""",
+    "reverse_search": f"""WITH e AS (SELECT entry_id, headword, headword_norm, flatten(list_transform(coalesce(senses, []), lambda s: coalesce(s.glosses, []))) AS gl, list_transform(coalesce(senses, []), lambda s: coalesce(s.glosses[1], '')) AS firsts, flatten(list_transform(coalesce(idioms, []), lambda s: coalesce(s.glosses, []))) AS ig FROM entries),
+ docs AS (SELECT entry_id AS doc_id, {_tokens("array_to_string(list_concat(gl, ig), chr(10))")} AS tokens FROM e), tok AS (SELECT doc_id, unnest(tokens) AS term FROM docs),
+ q AS (SELECT entry_id AS query_id, lower(list_filter(gl, lambda g: g IS NOT NULL)[1]) AS q FROM e WHERE entry_id % 100 = 0), ql AS (SELECT query_id, q, list_distinct({_tokens('q')}) AS ts FROM q WHERE q IS NOT NULL), qt AS (SELECT query_id, len(ts) AS asked, unnest(ts) AS term FROM ql),
+ st AS (SELECT count(*) AS n, greatest(1.0, avg(len(tokens))) AS a FROM docs), dl AS (SELECT doc_id, len(tokens) AS l FROM docs),
+ tf AS (SELECT term, doc_id, count(*) AS tf FROM tok WHERE term IN (SELECT term FROM qt) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+ h AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.8::DOUBLE + 0.2::DOUBLE * l / a))) AS score, count(*) AS matched, max(asked) AS asked FROM tf JOIN df USING (term) JOIN dl USING (doc_id) JOIN qt USING (term), st GROUP BY 1, 2),
+ b AS (SELECT h.query_id, h.doc_id, headword, h.score * pow(matched / asked::DOUBLE, 2.0) * (CASE WHEN len(list_filter(gl, lambda g: list_contains({_alternatives("lower(coalesce(g, ''))")}, q))) > 0 THEN 3.0::DOUBLE ELSE 1.0 END)
+  * (CASE WHEN len(list_filter(firsts, lambda g: contains(lower(g), q))) > 0 THEN 1.8::DOUBLE ELSE 1.0 END) * (CASE WHEN headword_norm <> '' AND NOT contains(headword_norm, ' ') THEN 1.4::DOUBLE ELSE 1.0 END) * (CASE WHEN length(headword_norm) <= 6 THEN 1.2::DOUBLE ELSE 1.0 END) AS score
+  FROM h JOIN e ON e.entry_id = h.doc_id JOIN ql USING (query_id)) {_top('SELECT query_id, doc_id, headword, round(score, 6) AS score FROM b', 10, 'doc_id')}""",
     "tokenize_lossless": "SELECT doc_id, text FROM documents WHERE text IS NOT NULL",
 }

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import normalize_headword, strip_bom
-from lexiloom.operators.dictionary import all_keys
-from lexiloom.operators.search import gloss_documents, postings
 from lexiloom.sources import marker
 
 CATALOG_COLUMNS = ("id", "name", "format", "file", "entries", "enabled", "priority")
@@ -47,13 +46,18 @@ READERS = {
 }
 
 
+def pick_reader(name: str, first_lines: list[str]):
+    """The format of a file and its reader; none that takes it is an error."""
+    for form, (takes, read) in READERS.items():
+        if takes(name, first_lines):
+            return form, read
+    raise ValueError(f"no reader takes {name}")
+
+
 def read_dictionary(spark: SparkSession, path: str, source_id: int) -> DataFrame:
     """Entries of a file in whichever format takes it."""
     first = [r["value"] for r in spark.read.text(path).limit(20).collect()]
-    for takes, read in READERS.values():
-        if takes(Path(path).name, first):
-            return read(spark, path, source_id)
-    raise ValueError(f"no reader takes {path}")
+    return pick_reader(Path(path).name, first)[1](spark, path, source_id)
 
 
 def display_name(name: str, first_lines: list[str]) -> str:
@@ -64,19 +68,24 @@ def display_name(name: str, first_lines: list[str]) -> str:
     return Path(name).stem
 
 
-def union_sources(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out
-
-
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """The catalogue of sources; numbers that are none are an error."""
     rows = spark.read.text(path).filter(F.col("value").rlike(r"\S") & ~F.col("value").startswith("#")).select(F.split("value", "\t").alias("f")).filter(F.size("f") >= len(CATALOG_COLUMNS))
     return rows.select(*[F.get("f", F.lit(i)).cast("int" if c in ("id", "entries", "enabled", "priority") else "string").alias(c) for i, c in enumerate(CATALOG_COLUMNS)])
 
 
+def catalog_or_default(spark: SparkSession, path: str, name: str, entries: int) -> DataFrame:
+    """The catalogue, or a single source where it is missing or empty."""
+    kind = "id int, name string, format string, file string, entries int, enabled int, priority int"
+    try:
+        found = read_catalog(spark, path)
+        if not found.isEmpty():
+            return found
+    except AnalysisException:
+        pass
+    return spark.createDataFrame([(0, name, "", "", entries, 1, 0)], kind)
+
+
 def write_catalog(sources: DataFrame, path: str) -> None:
     text = sources.orderBy("priority", "id").select(F.concat_ws("\t", *[F.col(c).cast("string") for c in CATALOG_COLUMNS]).alias("value"))
     text.coalesce(1).write.mode("overwrite").text(path)
@@ -102,20 +111,28 @@ def append_history(rows: DataFrame, path: str) -> None:
     rows.select(F.concat_ws("\t", F.col("epoch_second").cast("string"), "mode", "query").alias("value")).write.mode("append").text(path)
 
 
-def read_pairs(spark: SparkSession, en_path: str, vi_path: str) -> DataFrame:
-    """Two line-aligned files as one table; the longer one's rest is left out."""
-    en, vi = marker.read_lines(spark, en_path, 0), marker.read_lines(spark, vi_path, 0)
-    return en.select("line_no", F.col("line").alias("en")).join(vi.select("line_no", F.col("line").alias("vi")), "line_no")
+def rewrite_history(rows: DataFrame, path: str, fresh: str) -> None:
+    """The whole log anew: written to ``fresh`` first, then put into the place of ``path``."""
+    rows.orderBy("epoch_second", "mode", "query").select(F.concat_ws("\t", F.col("epoch_second").cast("string"), "mode", "query").alias("value")).write.mode("overwrite").text(fresh)
+    spark = rows.sparkSession
+    old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh))
+    files = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(old, True)
+    if not files.rename(new, old):
+        raise OSError(f"{fresh} can't be moved to {path}")
+
 
+def tokenizer_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """``(id, piece, score)`` of a tokenizer file that lists ``[piece, score]`` pairs."""
+    kind = "model struct<vocab:array<array<string>>>"
+    rows = spark.read.schema(kind).json(path, multiLine=True).select(F.posexplode("model.vocab").alias("id", "v"))
+    return rows.select("id", F.get("v", F.lit(0)).alias("piece"), F.get("v", F.lit(1)).cast("double").alias("score"))
 
-def write_store(entries: DataFrame, folder: str, files: int = 8) -> None:
-    """Entries, keys and postings as Parquet, sorted so that look-ups skip row groups."""
-    entries.repartitionByRange(files, "headword_norm").sortWithinPartitions("headword_norm").write.mode("overwrite").parquet(f"{folder}/entries")
-    all_keys(entries).repartitionByRange(files, "key").sortWithinPartitions("key").write.mode("overwrite").parquet(f"{folder}/keys")
-    for name, fold in (("vi", False), ("vi_plain", True)):
-        p = postings(gloss_documents(entries, fold))
-        p.repartitionByRange(files, "term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings/index={name}")
 
+def read_pairs(spark: SparkSession, en_path: str, vi_path: str) -> DataFrame:
+    """Two line-aligned corpora as one table; the longer one's rest is left out.
 
-def read_store(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{folder}/{n}") for n in ("entries", "keys", "postings")}
+    A side of several files is read on through them in the order of their paths.
+    """
+    en, vi = marker.read_lines(spark, en_path, 0, across_files=True), marker.read_lines(spark, vi_path, 0, across_files=True)
+    return en.select("line_no", F.col("line").alias("en")).join(vi.select("line_no", F.col("line").alias("vi")), "line_no")

@@ -17,10 +17,16 @@ def read_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def first_lookups(stream: DataFrame, late: str = "30 days") -> DataFrame:
-    """Each (mode, query, time) once; state older than the watermark is dropped."""
+    """Each row of the log once, though it was delivered several times; state older than the
+    watermark is dropped."""
     return stream.withWatermark("at", late).dropDuplicatesWithinWatermark(["mode", "query", "epoch_second"])
 
 
+def latest_lookups(stream: DataFrame) -> DataFrame:
+    """The last time of each (mode, query), for a sink that updates rows by key."""
+    return stream.groupBy("mode", "query").agg(F.max("epoch_second").alias("epoch_second"), F.count("*").alias("times"))
+
+
 def lookups_per_window(stream: DataFrame, window: str = "1 day", late: str = "30 days") -> DataFrame:
     """Number of lookups by mode and window, final once the watermark has passed."""
     grouped = stream.withWatermark("at", late).groupBy(F.window("at", window), "mode")
