@@ -182,15 +182,15 @@ SQL: dict[str, str] = {
     "gloss_functions": rf"""WITH {_GLOSS}, d AS (SELECT DISTINCT * FROM gl WHERE gloss IS NOT NULL) SELECT entry_id, gloss, coalesce({_alternatives('gloss')}[1], {_collapse('gloss')}) AS short, (NOT regexp_matches(gloss, '[^ \t\n\x0b\f\r]') OR contains(gloss, '<')) AS junk,
  {_fold(r"lower(regexp_replace(gloss, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g'))")} AS plain FROM d""",
     "usable_glosses": rf"WITH {_GLOSS} SELECT {_collapse('gloss')} AS gloss, count(*) AS n FROM gl WHERE regexp_matches(gloss, '[^ \t\n\x0b\f\r]') AND NOT contains(gloss, '<') GROUP BY 1",
-    "history_described": rf"""WITH {_LOG}, p AS (SELECT *, regexp_replace(trim(query), '[ \t\n\x0b\f\r]+', ' ', 'g') AS line, to_timestamp(epoch_second) AT TIME ZONE 'UTC' AS at FROM lg)
- SELECT epoch_second, mode, query, CASE WHEN year(at) = 2024 THEN strftime(at, '%d/%m %H:%M') ELSE strftime(at, '%d/%m/%Y %H:%M') END AS time, CASE WHEN length(line) > 110 THEN substr(line, 1, 110) || '…' ELSE line END AS preview FROM p""",
+    "history_described": rf"""WITH {_LOG}, p AS (SELECT *, regexp_replace(trim(query), '[ \t\n\x0b\f\r]+', ' ', 'g') AS line, to_timestamp(epoch_second) AT TIME ZONE 'UTC' AS ts FROM lg)
+ SELECT epoch_second, mode, query, CASE WHEN year(ts) = 2024 THEN strftime(ts, '%d/%m %H:%M') ELSE strftime(ts, '%d/%m/%Y %H:%M') END AS time, CASE WHEN length(line) > 110 THEN substr(line, 1, 110) || '…' ELSE line END AS preview FROM p""",
     "history_matching": rf"""WITH {_LOG} SELECT mode, query, len(regexp_split_to_array(trim(query), '[ \t\n\x0b\f\r]+')) >= 4 AS sentence, regexp_replace(query, '[ \t\n\x0b\f\r]*[\r\n]+[ \t\n\x0b\f\r]*', ' ', 'g') AS pasted, count(*) AS n FROM lg WHERE contains(lower(query), 'set') GROUP BY 1, 2, 3, 4""",
     "history_compact": f"""WITH {_LOG}, d AS (SELECT DISTINCT * FROM lg), b AS (SELECT *, lag((mode, query)) OVER (ORDER BY epoch_second, mode, query) AS b FROM d), k AS (SELECT epoch_second, mode, query FROM b WHERE b IS NULL OR b <> (mode, query)),
  n AS (SELECT count(*) AS n FROM k), r AS (SELECT *, row_number() OVER (ORDER BY epoch_second DESC, mode, query) AS r FROM k) SELECT epoch_second, mode, query FROM r, n WHERE n <= 2000 OR r <= 1000""",
     "tsv_scan": rf"""WITH l AS (SELECT source_id, line_no, regexp_replace(raw_line, '^\x{{FEFF}}', '') AS t FROM tsv_lines WHERE regexp_matches(raw_line, '[^ \t\n\x0b\f\r]')), f AS (SELECT *, string_split(t, chr(9)) AS f FROM l WHERE NOT starts_with(t, '#')),
  v AS (SELECT source_id, line_no AS source_line, list_transform(f, lambda x: trim(regexp_replace(x, '[\r\n]+$', ''))) AS f FROM f) SELECT source_id, source_line, f[1] AS headword, f[2] AS gloss, CASE WHEN f[3] <> '' THEN f[3] END AS pos FROM v WHERE f[1] <> '' AND f[2] <> ''""",
     "reverse_search": f"""WITH e AS (SELECT entry_id, headword, headword_norm, flatten(list_transform(coalesce(senses, []), lambda s: coalesce(s.glosses, []))) AS gl, list_transform(coalesce(senses, []), lambda s: coalesce(s.glosses[1], '')) AS firsts, flatten(list_transform(coalesce(idioms, []), lambda s: coalesce(s.glosses, []))) AS ig FROM entries),
- docs AS (SELECT entry_id AS doc_id, {_tokens("array_to_string(list_concat(gl, ig), chr(10))")} AS tokens FROM e), tok AS (SELECT doc_id, unnest(tokens) AS term FROM docs),
+ docs AS (SELECT entry_id AS doc_id, {_tokens("coalesce(array_to_string(list_concat(gl, ig), chr(10)), '')")} AS tokens FROM e), tok AS (SELECT doc_id, unnest(tokens) AS term FROM docs),
  q AS (SELECT entry_id AS query_id, lower(list_filter(gl, lambda g: g IS NOT NULL)[1]) AS q FROM e WHERE entry_id % 100 = 0), ql AS (SELECT query_id, q, list_distinct({_tokens('q')}) AS ts FROM q WHERE q IS NOT NULL), qt AS (SELECT query_id, len(ts) AS asked, unnest(ts) AS term FROM ql),
  st AS (SELECT count(*) AS n, greatest(1.0, avg(len(tokens))) AS a FROM docs), dl AS (SELECT doc_id, len(tokens) AS l FROM docs),
  tf AS (SELECT term, doc_id, count(*) AS tf FROM tok WHERE term IN (SELECT term FROM qt) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),

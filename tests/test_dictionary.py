@@ -1,17 +1,17 @@
 import pytest
 
-from lexiloom.operators import dictionary, search
+from lexiloom.operators import dictionary, search, service
 
 V, N = "động từ", "danh từ"
 MINI = (
-    ("give", [(V, ["cho, biếu, tặng", "trao cho"])], [("to give up", ["bỏ, từ bỏ", "nhượng bộ"]), ("to give in", ["chịu thua"])]),
-    ("look", [(V, ["nhìn, ngó"])], [("to look after", ["chăm sóc, trông nom"])]),
-    ("run", [(V, ["chạy"])]),
-    ("go", [(V, ["đi, đi đến"])]),
-    ("went", []),
-    ("bank", [(N, ["bờ sông, bờ đê"])]),
-    ("bank", [(N, ["ngân hàng"])]),
-    ("a la carte", [("phó từ", ["gọi món theo thực đơn"])]),
+    ("fold", [(V, ["gấp, xếp, gập", "xếp gọn"])], [("to fold up", ["gấp gọn, xếp lại", "phá sản"]), ("to fold in", ["trộn nhẹ"])]),
+    ("keep", [(V, ["giữ, cất"])], [("to keep watch", ["canh gác, trông chừng"])]),
+    ("swim", [(V, ["bơi"])]),
+    ("sing", [(V, ["hát, ca hát"])]),
+    ("sang", []),
+    ("spring", [(N, ["mùa xuân, tiết xuân"])]),
+    ("spring", [(N, ["lò xo"])]),
+    ("en plein air", [("phó từ", ["ngoài trời"])]),
 )
 
 
@@ -25,26 +25,26 @@ def ask(spark, *texts):
 
 
 def test_alias_lookup(spark, mini):
-    got = {r["query_id"]: r["entry_id"] for r in dictionary.lookup_first(ask(spark, "give up", "to give up", "look after", "a_la_carte", "about to"), mini).collect()}
+    got = {r["query_id"]: r["entry_id"] for r in dictionary.lookup_first(ask(spark, "fold up", "to fold up", "keep watch", "en_plein_air", "watch to"), mini).collect()}
     assert got == {0: 1, 1: 1, 2: 2, 3: 8}
 
 
 def test_homographs_keep_their_order(spark, mini):
-    assert [r["entry_id"] for r in dictionary.lookup_all(ask(spark, "BANK"), mini).orderBy("entry_id").collect()] == [6, 7]
-    assert dictionary.lookup_first(ask(spark, "bank"), mini).first()["entry_id"] == 6
+    assert [r["entry_id"] for r in dictionary.lookup_all(ask(spark, "SPRING"), mini).orderBy("entry_id").collect()] == [6, 7]
+    assert dictionary.lookup_first(ask(spark, "spring"), mini).first()["entry_id"] == 6
 
 
 def test_prefix_and_starters(spark, mini):
     keys = dictionary.all_keys(mini)
-    assert [r["key"] for r in dictionary.prefix_scan(keys, "g", 10).collect()] == ["give", "give in", "give up", "go"]
+    assert [r["key"] for r in dictionary.prefix_scan(keys, "Fo", 10).collect()] == ["fold", "fold in", "fold up"]
     assert dictionary.prefix_scan(keys, "", 10).count() == 0
     starters = {r["starter"] for r in dictionary.phrase_starters(keys).collect()}
-    assert {"give", "look", "to"} <= starters and "run" not in starters
+    assert {"fold", "keep", "to", "en"} <= starters and "swim" not in starters
 
 
 def test_resolve_falls_back_to_lemma_then_to_itself(spark, mini):
-    got = {r["query_id"]: (r["form"], r["via_lemma"]) for r in dictionary.resolve(ask(spark, "running", "went", "bank", "nothing"), mini).collect()}
-    assert got == {0: ("run", True), 1: ("go", True), 2: ("bank", False)}
+    got = {r["query_id"]: (r["form"], r["via_lemma"]) for r in dictionary.resolve(ask(spark, "swimming", "sang", "spring", "nothing"), mini).collect()}
+    assert got == {0: ("swim", True), 1: ("sing", True), 2: ("spring", False)}
 
 
 def test_sources_all_disabled_pass_all(spark, mini):
@@ -63,18 +63,47 @@ def test_source_reorder(spark):
 
 
 def test_reverse_and_fuzzy(spark, mini):
-    q = ask(spark, "chăm sóc")
-    assert search.search_vietnamese(mini, q).first()["headword"] == "look"
-    assert search.search_vietnamese(mini, ask(spark, "cham soc"), fold=True).first()["headword"] == "look"
-    assert search.fuzzy_english(mini, ask(spark, "bannk")).orderBy("rank").first()["headword_norm"] == "bank"
+    q = ask(spark, "canh gác")
+    assert search.search_vietnamese(mini, q).first()["headword"] == "keep"
+    assert search.search_vietnamese(mini, ask(spark, "canh gac"), fold=True).first()["headword"] == "keep"
+    assert search.fuzzy_english(mini, ask(spark, "sprinng")).orderBy("rank").first()["headword_norm"] == "spring"
 
 
 def test_compounds_and_suggestions(spark, entries_of):
-    e = entries_of(("care", [(V, ["trông nom, chăm sóc"])]), ("tend", [(V, ["chăm sóc, săn sóc"])]), ("nurse", [(V, ["chăm sóc người ốm", "chăm sóc"])]), ("blah", [(N, ["linh tinh quá"])]))
+    e = entries_of(("guard", [(V, ["trông nom, canh gác"])]), ("mind", [(V, ["canh gác, để ý"])]), ("watch", [(V, ["canh gác ban đêm", "canh gác"])]), ("blah", [(N, ["linh tinh quá"])]))
     words = search.compounds(e, 3)
-    assert {r["compound"] for r in words.collect()} == {"chăm sóc"}
-    got = {r["query_id"]: r["compound"] for r in search.suggest(words, ask(spark, "cham sok", "chăm sóc", "cham soc", "sóc")).collect()}
-    assert got == {0: "chăm sóc"}
+    assert {r["compound"] for r in words.collect()} == {"canh gác"}
+    got = {r["query_id"]: r["compound"] for r in search.suggest(words, ask(spark, "canh gax", "canh gác", "canh gac", "gác")).collect()}
+    assert got == {0: "canh gác"}
+
+
+def test_shown_hits(spark, mini):
+    asked = search.route(ask(spark, "canh gác", "xep gon"))
+    assert {r["query_id"]: r["fold"] for r in asked.collect()} == {0: False, 1: True}
+    best = search.search_vietnamese(mini, ask(spark, "canh gác"))
+    shown = search.show_hits(best, mini, asked, fold=False).first()
+    assert (shown["display"], shown["matched_gloss"]) == ("to keep watch", "canh gác, trông chừng")
+    off = spark.createDataFrame([(0, 0, 0), (1, 1, 1)], "id int, enabled int, priority int")
+    assert search.search_vietnamese(mini, ask(spark, "canh gác"), sources=off).count() == 0
+
+
+def test_numbers_and_focus(spark, mini):
+    numbered = dictionary.with_ordinals(mini.repartition(5))
+    assert [r["headword"] for r in numbered.orderBy("ordinal").collect()] == ["en plein air", "fold", "keep", "sang", "sing", "spring", "spring", "swim"]
+    assert sorted(r["ordinal"] for r in numbered.collect()) == list(range(8))
+    assert [r["headword"] for r in dictionary.entries_at(spark.createDataFrame([(1,), (99,)], "ordinal long"), numbered).collect()] == ["fold"]
+    assert {(r["query_id"], r["phrase"]) for r in dictionary.idiom_focus(ask(spark, "fold up", "to fold in", "fold"), mini).collect()} == {(0, "to fold up"), (1, "to fold in")}
+    assert [r["entry_id"] for r in dictionary.dump(mini, " Spring ").orderBy("entry_id").collect()] == [6, 7]
+    sources = spark.createDataFrame([(0, 9, 1), (3, None, 1)], "id int, entries int, enabled int")
+    assert {(r["source_id"], r["declared"], r["found"]) for r in dictionary.source_totals(mini, sources).collect()} == {(0, 9, 8), (3, None, 0)}
+    assert {r["id"]: r["enabled"] for r in dictionary.set_enabled(sources, 3, False).collect()} == {0: 1, 3: 0}
+
+
+def test_cascade_stops_at_the_first_answer(spark, mini):
+    off = spark.createDataFrame([(0, 1, 0)], "id int, enabled int, priority int")
+    asked = ask(spark, "Spring", "swimming", "keep the old spring", "sprng", None)
+    got = {(r["query_id"], r["stage"]) for r in service.word_cascade(asked, mini, off).collect()}
+    assert got == {(0, "lookup"), (1, "resolve"), (2, "translate"), (3, "fuzzy")}
 
 
 def test_empty_tables(spark, entries_of, mini):

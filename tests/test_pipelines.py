@@ -110,7 +110,20 @@ def test_history(spark, tmp_path):
     clean = history.clean_log(log)
     assert clean.count() == 6
     assert [(r["mode"], r["query"]) for r in history.latest_per_key(clean).collect()] == [("fuzzy", "a"), ("word", "a"), ("word", "b c")]
-    assert [r["epoch_second"] for r in history.drop_repeats(clean).orderBy("mode", "epoch_second").collect()] == [7, 1, 3, 4]
+    assert [r["epoch_second"] for r in history.drop_repeats(clean).orderBy("epoch_second").collect()] == [1, 3, 4, 7]
+    mixed = spark.createDataFrame([(1, "word", "a"), (2, "sentence", "b"), (3, "word", "a"), (4, "word", "a")], clean.schema)
+    assert [r["epoch_second"] for r in history.drop_repeats(mixed).orderBy("epoch_second").collect()] == [1, 2, 3]
+    rng = random.Random(3)
+    many = sorted((t, rng.choice("xy"), rng.choice("ab")) for t in range(400))
+    kept = [x for x, y in zip(many, [None, *many], strict=False) if y is None or x[1:] != y[1:]]
+    assert sorted(map(tuple, history.drop_repeats(spark.createDataFrame(many, clean.schema).repartition(7)).collect())) == kept
+    assert history.drop_repeats(clean.limit(0)).count() == 0
+    assert history.explicit(log.withColumn("trigger", F.when(F.col("epoch_second") == 1, "mode"))).count() == log.count() - 1
+    shown = history.described(spark.createDataFrame([(0, "word", "x " * 100)], clean.schema), 2024).first()
+    assert shown["time"] == "01/01/1970 00:00" and len(shown["preview"]) == 111
+    files.append_history(clean, str(tmp_path / "kept"))
+    files.rewrite_history(history.compact(log, 2, 3), str(tmp_path / "kept"), str(tmp_path / "fresh"))
+    assert files.read_history(spark, str(tmp_path / "kept")).count() == 2
     assert history.retain(clean, 2, 3).count() == 2 and history.retain(clean, 2, 100).count() == 6
     gone = spark.createDataFrame([("word", "a")], "mode string, query string")
     assert history.remove_keys(clean, gone).count() == 3
@@ -124,25 +137,50 @@ def test_history(spark, tmp_path):
 
 def test_marker_format(spark, tmp_path):
     (tmp_path / "d.txt").write_text(
-        "﻿junk\n@about /ə'baut/\n*phó từ\n- xung quanh\n=he is somewhere about+anh ta ở quanh đây\n- đằng sau\n!about and about\n- (từ Mỹ) rất giống nhau\n*giới từ\n- về\n+ see\n?bad\n@a_la_carte /'ɑ:lɑ:/ (x) /y/\n- gọi món\n@and/or\n",
+        "\ufeffrubbish\n@ember /'embə/\n*danh từ\n- than hồng\n=the ember is warm+than còn ấm\n- tàn lửa\n!ember and ash\n- (văn học) dấu vết cũ\n*động từ\n- âm ỉ\n+ coal\n?odd\n@en_plein_air /an plen/ (x) /y/\n- ngoài trời\n@in/out\n",
         encoding="utf-8",
     )
     lines = marker.read_lines(spark, str(tmp_path / "d.txt"), 7)
     got = {r["headword"]: r for r in marker.entries(lines).collect()}
-    assert set(got) == {"about", "a la carte", "and/or"}
-    about = got["about"]
-    assert about["ipa"] == "ə'baut" and [s["pos"] for s in about["senses"]] == ["phó từ", "giới từ"] and about["cross_refs"] == ["see"]
-    assert about["senses"][0]["glosses"] == ["xung quanh", "đằng sau"] and about["senses"][0]["examples"][0]["vi"] == "anh ta ở quanh đây"
-    assert [i["phrase"] for i in about["idioms"]] == ["about and about"] and got["a la carte"]["variant"] == "x"
-    assert got["a la carte"]["senses"][0]["pos"] is None and got["and/or"]["senses"] == []
-    assert {r["line"].lstrip("﻿") for r in marker.bad_lines(lines).collect()} == {"junk", "?bad"}
+    assert set(got) == {"ember", "en plein air", "in/out"}
+    ember = got["ember"]
+    assert ember["ipa"] == "'embə" and [s["pos"] for s in ember["senses"]] == ["danh từ", "động từ"] and ember["cross_refs"] == ["coal"]
+    assert ember["senses"][0]["glosses"] == ["than hồng", "tàn lửa"] and ember["senses"][0]["examples"][0]["vi"] == "than còn ấm"
+    assert [i["phrase"] for i in ember["idioms"]] == ["ember and ash"] and got["en plein air"]["variant"] == "x"
+    assert got["en plein air"]["senses"][0]["pos"] is None and got["in/out"]["senses"] == []
+    assert {r["line"].lstrip("\ufeff") for r in marker.bad_lines(lines).collect()} == {"rubbish", "?odd"}
+    assert marker.bad_line_report(lines, 1)[0] == 2 and len(marker.bad_line_report(lines, 1)[1]) == 1
+
+
+def test_lines_are_numbered_across_splits_and_files(spark, tmp_path):
+    (tmp_path / "en").mkdir()
+    (tmp_path / "vi").mkdir()
+    rows = [f"line {i} " + "x" * (i % 50) for i in range(3000)]
+    (tmp_path / "en" / "a.txt").write_text("\n".join(rows[:2000]) + "\n")
+    (tmp_path / "en" / "b.txt").write_text("\n".join(rows[2000:]) + "\n")
+    (tmp_path / "vi" / "whole.txt").write_text("\n".join(rows[:2990]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        one = marker.read_lines(spark, str(tmp_path / "vi"), 0)
+        assert one.rdd.getNumPartitions() > 3
+        assert [r["line"] for r in one.orderBy("line_no").collect()] == rows[:2990] and one.agg(F.max("line_no")).first()[0] == 2990
+        pairs = files.read_pairs(spark, str(tmp_path / "en"), str(tmp_path / "vi"))
+        assert pairs.count() == 2990 and pairs.filter(F.col("en") != F.col("vi")).count() == 0
+        # an entry that goes on over many splits
+        (tmp_path / "d.txt").write_text("@big\n" + "- gloss\n" * 3000 + "@next\n- x\n")
+        got = {r["headword"]: len(r["senses"][0]["glosses"]) for r in marker.entries(marker.read_lines(spark, str(tmp_path / "d.txt"), 1)).collect()}
+        assert got == {"big": 3000, "next": 1}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
 def test_tsv_store_and_catalog(spark, tmp_path):
-    (tmp_path / "t.tsv").write_text("# name: X\nthieu-cot\n\ndeadline\thạn chót\n\t\nok\tđược, ừ\ttừ\n", encoding="utf-8")
+    (tmp_path / "t.tsv").write_text("# name: X\nno-tab-here\n\nkettle\tấm nước\n\t\nyes\tvâng, dạ\ttừ\n", encoding="utf-8")
     rows = files.read_tsv(spark, str(tmp_path / "t.tsv"), 3)
     assert files.tsv_can_read("x.tsv", ["# c", "a\tb"]) and not files.tsv_can_read("x.tsv", ["@a"]) and not files.tsv_can_read("x.csv", ["a\tb"])
-    assert {(r["headword"], r["senses"][0]["glosses"][0], r["senses"][0]["pos"]) for r in rows.collect()} == {("deadline", "hạn chót", None), ("ok", "được, ừ", "từ")}
+    assert {(r["headword"], r["senses"][0]["glosses"][0], r["senses"][0]["pos"]) for r in rows.collect()} == {("kettle", "ấm nước", None), ("yes", "vâng, dạ", "từ")}
     assert files.display_name("t.tsv", ["# name: X"]) == "X" and files.display_name("t.tsv", []) == "t"
     (tmp_path / "c.tsv").write_text("# c\n0\tA\ttsv\ta\t5\t1\t0\nshort\n", encoding="utf-8")
     assert files.read_catalog(spark, str(tmp_path / "c.tsv")).first()["name"] == "A"

@@ -1,22 +1,21 @@
 import pytest
 
-from lexiloom.operators import gloss, translate
+from lexiloom.operators import gloss, service, translate
 
 V, N, A, P = "động từ", "danh từ", "tính từ", "phó từ"
 WORDS = (
-    ("go", [(V, ["đi, đi đến"])]),
-    ("market", [(N, ["chợ"])]),
-    ("system", [(N, ["hệ thống"])]),
-    ("old", [(A, ["già"])]),
-    ("book", [(N, ["sách"]), (V, ["đặt trước"])]),
-    ("good", [(A, ["tốt"])]),
-    ("job", [(N, ["việc, việc làm"])]),
-    ("give", [(V, ["cho, biếu, tặng"])], [("to give up", ["bỏ, từ bỏ", "nhượng bộ"])]),
-    ("work", [(N, ["công việc"]), (V, ["làm việc"])]),
-    ("school", [(N, ["trường học, học đường", "đàn cá"])]),
-    ("reading", [(N, ["sự đọc"])]),
-    ("read", [(V, ["đọc"])]),
-    ("use case", [(N, ["ca sử dụng"])]),
+    ("swim", [(V, ["bơi, bơi lội"])]),
+    ("harbour", [(N, ["bến cảng"])]),
+    ("lantern", [(N, ["đèn lồng"])]),
+    ("heavy", [(A, ["nặng"])]),
+    ("water", [(N, ["nước"]), (V, ["tưới"])]),
+    ("soft", [(A, ["mềm"])]),
+    ("seat", [(N, ["chỗ, chỗ ngồi"])]),
+    ("keep", [(V, ["giữ, cất"])], [("to keep off", ["tránh, tránh xa", "chặn lại"])]),
+    ("paint", [(N, ["màu vẽ"]), (V, ["sơn phết"])]),
+    ("drawing", [(N, ["bức vẽ"])]),
+    ("draw", [(V, ["vẽ"])]),
+    ("rope ladder", [(N, ["thang dây"])]),
 )
 
 
@@ -26,18 +25,18 @@ def words(entries_of):
 
 
 SENTENCES = {
-    "The old system": "Hệ thống già",
-    "This book": "Sách này",
-    "The old system. This book.": "Hệ thống già. Sách này.",
-    "He went to the market": None,
-    "Book the market": "Đặt trước chợ",
-    "Read, work, and book": "Đọc, làm việc, và đặt trước",
-    "The four books": "Bốn sách",
-    "The older system": "Hệ thống già hơn",
-    "A good use case": "Ca sử dụng tốt",
-    "He is reading a book": "Anh ấy đang đọc sách",
-    "The system could not work": None,
-    "He gave up his job": None,
+    "The heavy lantern": "Đèn lồng nặng",
+    "This harbour": "Bến cảng này",
+    "The heavy lantern. This harbour.": "Đèn lồng nặng. Bến cảng này.",
+    "She swam to the harbour": None,
+    "Water the harbour": "Tưới bến cảng",
+    "Draw, paint, and water": "Vẽ, sơn phết, và tưới",
+    "The four lanterns": "Bốn đèn lồng",
+    "The softer lantern": "Đèn lồng mềm hơn",
+    "A soft rope ladder": "Thang dây mềm",
+    "He is drawing a lantern": "Anh ấy đang vẽ đèn lồng",
+    "The lantern could not paint": None,
+    "He kept off his seat": None,
     "": "",
 }
 
@@ -49,24 +48,44 @@ def test_golden_sentences(spark, words):
         if wanted is not None:
             assert got[i] == wanted, source
     by = dict(zip(SENTENCES, (got[i] for i in range(len(SENTENCES))), strict=True))
-    assert by["He went to the market"].startswith("Anh ấy đã đi") and by["He went to the market"].endswith("chợ")
-    assert by["The system could not work"].startswith("Hệ thống không thể") and by["The system could not work"].endswith("làm việc")
-    assert by["He gave up his job"].startswith("Anh ấy đã bỏ") and "của anh ấy" in by["He gave up his job"]
+    assert by["She swam to the harbour"].startswith("Cô ấy đã bơi") and by["She swam to the harbour"].endswith("bến cảng")
+    assert by["The lantern could not paint"].startswith("Đèn lồng không thể") and by["The lantern could not paint"].endswith("sơn phết")
+    assert by["He kept off his seat"].startswith("Anh ấy đã tránh") and "của anh ấy" in by["He kept off his seat"]
     assert got[99] == ""
 
 
 def test_segments_tile_the_sentence(spark, words):
-    rows = spark.createDataFrame([(1, "He gave up his job."), (2, "She went home"), (3, None)], "sentence_id int, sentence string")
-    got = {r["sentence_id"]: r["segments"] for r in gloss.gloss_sentences(rows, words).collect()}
-    assert "".join(s["source"] for s in got[1]) == "He gave up his job."
+    rows = spark.createDataFrame([(1, "He kept off his seat."), (2, "She swam home"), (3, None), (4, "She swam home"), (5, "")], "sentence_id int, sentence string")
+    made = gloss.gloss_sentences(rows, words)
+    got = {r["sentence_id"]: r["segments"] for r in made.collect()}
+    assert "".join(s["source"] for s in got[1]) == "He kept off his seat."
     phrase = next(s for s in got[1] if s["kind"] == "PHRASE")
-    assert phrase["source"] == "gave up" and phrase["candidates"][0]["gloss"] == "bỏ, từ bỏ"
-    went = next(s for s in got[2] if s["source"] == "went")
-    assert went["kind"] == "WORD" and went["candidates"][0]["headword"] == "go"
-    assert not got[3]
+    assert phrase["source"] == "kept off" and phrase["candidates"][0]["gloss"] == "tránh, tránh xa"
+    swam = next(s for s in got[2] if s["source"] == "swam")
+    assert swam["kind"] == "WORD" and swam["candidates"][0]["headword"] == "swim"
+    assert got[3] == [] and got[5] == [] and got[4] == got[2]
+    assert {r["sentence_id"]: r["ratio"] for r in service.resolved_ratio(made).collect()}[2] == 1 / 3
+    assert {r["sentence_id"]: r["gloss"] for r in service.flat_gloss(made).collect()}[2] == "She bơi, bơi lội home"
+
+
+def test_stock_sentences_meet_their_copies(spark, words, monkeypatch):
+    monkeypatch.setattr(gloss, "HOT_SENTENCE", 2)
+    monkeypatch.setattr(translate, "HOT_SENTENCE", 2)
+    rows = spark.createDataFrame([(i, "The heavy lantern") for i in range(9)] + [(9, "Water the harbour")], "text_id int, text string")
+    got = {r["text_id"]: r["translation"] for r in translate.translate_texts(rows, words).collect()}
+    assert got == {**dict.fromkeys(range(9), "Đèn lồng nặng"), 9: "Tưới bến cảng"}
+
+
+def test_likelihood_orders_candidates(spark, entries_of):
+    e = entries_of(("harbour", [(N, ["chỗ trú", "hải cảng"]), (N, ["bến tàu"])]))
+    rows = spark.createDataFrame([(1, "harbour")], "sentence_id int, sentence string")
+    table = spark.createDataFrame([("harbour", "bến", 1, 30000), ("harbour", "tàu", 2, 20000), ("harbour", "cảng", 3, 9000)], "e string, f string, rank int, q int")
+    order = lambda lex: [c["gloss"] for c in gloss.gloss_sentences(rows, e, lexicon=lex).first()["segments"][0]["candidates"]]
+    assert order(None) == ["chỗ trú", "bến tàu", "hải cảng"] and order(table) == ["bến tàu", "hải cảng", "chỗ trú"]
+    assert order(table.limit(0)) == order(None)
 
 
 def test_prior_changes_the_sense(spark):
-    segments = [{"source": "government", "kind": "WORD", "candidates": [{"headword": "government", "gloss": "sự cai trị", "pos": N, "score": 1.0, "source_id": 0}, {"headword": "government", "gloss": "chính phủ", "pos": N, "score": 0.5, "source_id": 0}]}]
-    assert translate.translate(segments, {}) == "Sự cai trị"
-    assert translate.translate(segments, {}, {"government": {"chính": 0.41, "phủ": 0.39, "sự": 0.02}}) == "Chính phủ"
+    segments = [{"source": "harbour", "kind": "WORD", "candidates": [{"headword": "harbour", "gloss": "chỗ trú", "pos": N, "score": 1.0, "source_id": 0}, {"headword": "harbour", "gloss": "bến tàu", "pos": N, "score": 0.5, "source_id": 0}]}]
+    assert translate.translate(segments, {}) == "Chỗ trú"
+    assert translate.translate(segments, {}, {"harbour": {"bến": 0.41, "tàu": 0.39, "chỗ": 0.02}}) == "Bến tàu"
