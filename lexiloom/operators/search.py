@@ -89,11 +89,13 @@ def rank_hits(hits: DataFrame, entries: DataFrame, asked: DataFrame, k: int, fol
     folded = (lambda c: F.lower(remove_diacritics(c))) if fold else F.lower
     some = entries if sources is None else apply_sources(entries, sources)
     glosses = F.flatten(F.transform(F.coalesce("senses", F.array()), lambda s: F.coalesce(s["glosses"], F.array().cast("array<string>"))))
-    first = F.transform(F.coalesce("senses", F.array()), lambda s: F.coalesce(F.get(s["glosses"], F.lit(0)), F.lit("")))
-    info = some.select(F.col("entry_id").alias("doc_id"), "headword", "headword_norm", glosses.alias("glosses"), first.alias("firsts"))
+    synonyms = F.array_distinct(F.flatten(F.transform(glosses, lambda g: gloss_alternatives(folded(F.coalesce(g, F.lit("")))))))
+    first = F.transform(F.coalesce("senses", F.array()), lambda s: folded(F.coalesce(F.get(s["glosses"], F.lit(0)), F.lit(""))))
+    # taken apart once an entry, not once a hit
+    info = some.select(F.col("entry_id").alias("doc_id"), "headword", "headword_norm", synonyms.alias("synonyms"), first.alias("firsts"))
     joined = hits.join(info, "doc_id").join(asked.select("query_id", "q"), "query_id")
-    whole = F.exists("glosses", lambda g: F.array_contains(gloss_alternatives(folded(F.coalesce(g, F.lit("")))), F.col("q")))
-    primary = F.exists("firsts", lambda g: F.contains(folded(g), F.col("q")))
+    whole = F.array_contains("synonyms", F.col("q"))
+    primary = F.exists("firsts", lambda g: F.contains(g, F.col("q")))
     boost = bm25_boost(whole, primary, word_count(F.col("headword_norm")) == 1, F.length("headword_norm"))
     scored = joined.withColumn("score", F.col("score") * boost * F.pow(F.col("matched") / F.col("asked"), F.lit(2.0)))
     return top_per_query(scored.select("query_id", "doc_id", "headword", "score"), k)
