@@ -550,6 +550,5 @@ def rule_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def subword_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = ["</s>\t0", "<unk>\t0", *[f"{subword.MARK}{w}\t-{3 + i}" for i, w in enumerate(("the", "a", "in", "on"))], *[f"{c}\t-12" for c in "abcdefghijklmnopqrstuvwxyz"], f"{subword.MARK}\t-11"]
-    encode = subword.encoder(subword.read_vocabulary(lines), unknown=1, end=0)
+    encode = subword.encoder(subword.read_vocabulary(subword.model_lines()), unknown=0, end=2)
     return _table(spark, sf_dir, "parallel_pairs").select("line_no", encode("en").alias("ids"))

@@ -65,3 +65,13 @@ def test_subwords():
 def test_vocabulary_of_a_tokenizer_file(spark, tmp_path):
     (tmp_path / "t.json").write_text('{"model": {"type": "Unigram", "vocab": [["</s>", 0.0], ["a", -1.5]]}, "x": 1}')
     assert [tuple(r) for r in files.tokenizer_pieces(spark, str(tmp_path / "t.json")).collect()] == [(0, "</s>", 0.0), (1, "a", -1.5)]
+
+
+def test_public_pieces_go_round(spark):
+    lines = subword.model_lines()
+    v, pieces = subword.read_vocabulary(lines), [x.rpartition("\t")[0] for x in lines]
+    assert len(pieces) == 32_000 and v["<unk>"][0] == 0 and v["</s>"][0] == 2
+    one = "The lantern swings above the harbour."
+    made = values(spark, subword.encoder(v, 0, 2), one, "", None, "x" * 5000)
+    assert subword.decode(made[0], pieces, {0, 1, 2}) == one and len(made[0]) < 15 and made[1] == made[2] == [2]
+    assert made[0] == subword.encode(one, v, 0, 2) and subword.decode(made[3], pieces, {2}) == "x" * 5000
