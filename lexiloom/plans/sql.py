@@ -82,8 +82,8 @@ _ENGLISH = r"""ph AS (SELECT headword_norm AS p FROM entries UNION ALL SELECT un
 _VIETNAMESE = f"{_ALL_GLOSS}, vw AS (SELECT unnest({_tokens('gloss')}) AS word FROM ag WHERE gloss IS NOT NULL), vivoc AS (SELECT DISTINCT word FROM vw)"
 
 
-def _em(iterations: int, vocabulary: bool = False) -> str:
-    pairs = _PAIRS
+def _em(iterations: int, vocabulary: bool = False, whole: bool = False) -> str:
+    pairs = _PAIRS.replace("BETWEEN 1 AND 20", ">= 1") if whole else _PAIRS
     if vocabulary:
         pairs = f"{_ENGLISH}, {_VIETNAMESE}, {pairs}".replace("SELECT line_no, unnest(list_prepend('', en)) AS e FROM u", "SELECT line_no, coalesce(word, '') AS e FROM (SELECT line_no, unnest(list_prepend('', en)) AS w FROM u) LEFT JOIN envoc ON word = w")
         pairs = pairs.replace("SELECT line_no, unnest(vi) AS f FROM u", "SELECT line_no, coalesce(word, '') AS f FROM (SELECT line_no, unnest(vi) AS w FROM u) LEFT JOIN vivoc ON word = w")
@@ -161,7 +161,7 @@ SQL: dict[str, str] = {
     "stride_sample": r"""WITH p AS (SELECT line_no, len(regexp_extract_all(lower(en), '[\p{L}\p{Nd}'']+')) AS en_tokens, len(regexp_extract_all(lower(vi), '[\p{L}\p{Nd}]+')) AS vi_tokens FROM parallel_pairs), m AS (SELECT greatest(1, max(line_no) // 1000) AS s FROM p)
  SELECT line_no, en_tokens::INT AS en_tokens, vi_tokens::INT AS vi_tokens FROM p, m WHERE (line_no - 1) % s = 0 AND en_tokens BETWEEN 1 AND 20 AND vi_tokens BETWEEN 1 AND 20 ORDER BY line_no LIMIT 1000""",
     "em_iteration_1": f"{_em(1)} SELECT e, f, round(t, 6) AS t FROM t1",
-    "em_model1": f"{_em(4)} SELECT e, f, round(t, 6) AS t FROM t4 WHERE round(t, 6) >= 0.005",
+    "em_model1": f"{_em(4, whole=True)} SELECT e, f, round(t, 6) AS t FROM t4 WHERE round(t, 6) >= 0.005",
     "lexicon_topk": f"{_em(4)}, {_TOP} SELECT e, string_agg(printf('%s(%.3f)', f, q / 65535.0::DOUBLE), ' ' ORDER BY rank) AS translations FROM top GROUP BY 1",
     "lexicon_probability": f"{_em(4)}, {_TOP}, {_GLOSS}, ask AS (SELECT DISTINCT headword_norm AS en, unnest({_tokens('gloss')}) AS vi FROM gl JOIN entries USING (entry_id)) SELECT en, vi, round(coalesce(q / 65535.0::DOUBLE, 0), 6) AS p FROM ask LEFT JOIN top ON top.e = lower(en) AND top.f = vi",
     "lexicon_score_gloss": f"""{_em(4)}, {_TOP}, s AS (SELECT entry_id, headword_norm, unnest(range(0, len(senses))) AS sense_no, unnest(senses) AS s FROM entries),

@@ -6,7 +6,7 @@ from math import log, sqrt
 import pytest
 from pyspark.sql import functions as F
 
-from lexiloom.operators import dictionary, search
+from lexiloom.operators import dictionary, lexicon, search
 from lexiloom.plans import queries
 
 ENGLISH = {"house": "nhà", "book": "sách", "cat": "mèo", "dog": "chó", "tree": "cây", "red": "đỏ"}
@@ -70,6 +70,21 @@ def test_whole_table_keeps_unlikely_cells(spark, folder):
     assert min(got.values()) < 0.01
 
 
+@pytest.mark.parametrize("batch", [1 << 20, 30])
+def test_training_takes_lines_of_any_length(spark, folder, monkeypatch, batch):
+    monkeypatch.setattr(lexicon, "BATCH", batch)
+    monkeypatch.setattr(lexicon, "FREQUENT", 5)
+    monkeypatch.setattr(lexicon, "CHUNK_BYTES", 400)
+    rng = random.Random(13)
+    long = lambda letter, n: " ".join(f"{letter}{rng.randint(0, rng.choice([3, 60]))}" for _ in range(n))
+    pairs = [(long("e", rng.choice([2, 30])), long("v", rng.choice([1, 45]))) for _ in range(40)] + [("stock line", "câu mẫu mẫu")] * 9
+    at = folder(parallel_pairs=spark.createDataFrame([(i, *p) for i, p in enumerate(pairs, 1)], "line_no long, en string, vi string"))
+    wanted = brute_table(pairs, 4)
+    for rows, least in ((queries.em_model1, 0.005),):
+        got, some = {(r["e"], r["f"]): r["t"] for r in rows(spark, at).collect()}, {k: t for k, t in wanted.items() if round(t, 6) >= least}
+        assert got.keys() == some.keys() and all(abs(got[k] - some[k]) < 2e-6 for k in some)
+
+
 def test_scored_glosses_against_brute_force(spark, folder, entries_of):
     rng = random.Random(7)
     pairs = []
