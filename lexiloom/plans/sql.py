@@ -162,7 +162,7 @@ SQL: dict[str, str] = {
  SELECT line_no, en_tokens::INT AS en_tokens, vi_tokens::INT AS vi_tokens FROM p, m WHERE (line_no - 1) % s = 0 AND en_tokens BETWEEN 1 AND 20 AND vi_tokens BETWEEN 1 AND 20 ORDER BY line_no LIMIT 1000""",
     "em_iteration_1": f"{_em(1)} SELECT e, f, round(t, 6) AS t FROM t1",
     "em_model1": f"{_em(4, whole=True)} SELECT e, f, round(t, 6) AS t FROM t4 WHERE round(t, 6) >= 0.005",
-    "lexicon_topk": f"{_em(4)}, {_TOP} SELECT e, string_agg(printf('%s(%.3f)', f, q / 65535.0::DOUBLE), ' ' ORDER BY rank) AS translations FROM top GROUP BY 1",
+    "lexicon_topk": f"{_em(4, whole=True)}, {_TOP} SELECT e, string_agg(printf('%s(%.3f)', f, q / 65535.0::DOUBLE), ' ' ORDER BY rank) AS translations FROM top GROUP BY 1",
     "lexicon_probability": f"{_em(4)}, {_TOP}, {_GLOSS}, ask AS (SELECT DISTINCT headword_norm AS en, unnest({_tokens('gloss')}) AS vi FROM gl JOIN entries USING (entry_id)) SELECT en, vi, round(coalesce(q / 65535.0::DOUBLE, 0), 6) AS p FROM ask LEFT JOIN top ON top.e = lower(en) AND top.f = vi",
     "lexicon_score_gloss": f"""{_em(4)}, {_TOP}, s AS (SELECT entry_id, headword_norm, unnest(range(0, len(senses))) AS sense_no, unnest(senses) AS s FROM entries),
  g AS (SELECT entry_id, headword_norm, sense_no, unnest(range(0, len(s.glosses))) AS gloss_no, unnest(s.glosses) AS gloss FROM s), al AS (SELECT *, {_alternatives('gloss')} AS alts FROM g WHERE gloss IS NOT NULL),

@@ -83,6 +83,8 @@ def test_training_takes_lines_of_any_length(spark, folder, monkeypatch, batch):
     for rows, least in ((queries.em_model1_whole, 0), (queries.em_model1, 0.005)):
         got, some = {(r["e"], r["f"]): r["t"] for r in rows(spark, at).collect()}, {k: t for k, t in wanted.items() if round(t, 6) >= least}
         assert got.keys() == some.keys() and all(abs(got[k] - some[k]) < 2e-6 for k in some)
+    top = {r["e"]: [x.split("(")[0] for x in r["translations"].split()] for r in queries.lexicon_topk(spark, at).collect()}
+    assert top == {e: list(fs) for e, fs in brute_translations(pairs, 4).items()}
 
 
 def test_scored_glosses_against_brute_force(spark, folder, entries_of):
