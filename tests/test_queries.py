@@ -120,6 +120,37 @@ def test_relevance_by_any_number_of_terms(spark, monkeypatch, few):
     assert got.keys() == wanted.keys() and all(abs(got[k] - wanted[k]) < 1e-9 for k in wanted)
 
 
+def brute_nearest(texts, asked, k, least):
+    """{(query, text, score, rank)} by the letter triples of each pair."""
+    grams = lambda t: Counter(f"$${t}$$"[i : i + 3] for i in range(len(t) + 2)) if t else Counter()
+    out = set()
+    for q, text in asked.items():
+        scored = []
+        for t, i in texts.items():
+            a, b = grams(text), grams(t)
+            m = (a & b).total()
+            if m and (s := m / (a.total() + b.total() - m)) >= least:
+                scored.append((-round(s, 6), i, t))
+        out |= {(q, t, -s, r) for r, (s, _, t) in enumerate(sorted(scored)[:k], 1)}
+    return out
+
+
+@pytest.mark.parametrize("once", [3, 50_000])
+def test_nearest_texts_in_blocks_and_passes(spark, entries_of, monkeypatch, once):
+    monkeypatch.setattr(search, "ASKED_ONCE", once)
+    monkeypatch.setattr(search, "BLOCK", 7)
+    rng = random.Random(once)
+    heads = list(dict.fromkeys("".join(rng.choices("ab ô😀", k=rng.randint(1, 9))).strip() or "a" for _ in range(150)))
+    asked = {i: rng.choice([*heads, "aaaa", "b" * 9, "", "zz", "abab😀ab"]) for i in range(25)}
+    table = spark.createDataFrame(list(asked.items()), "query_id int, query string")
+    entries = entries_of(*((h, None) for h in heads))
+    plans = search.fuzzy_english(entries, table, 10)
+    got = {(r["query_id"], r["headword_norm"], r["score"], r["rank"]) for r in plans.collect()}
+    assert got == brute_nearest({h: i for i, h in enumerate(heads)}, asked, 10, 0) != set()
+    # no row a pair: neither side's triples are joined
+    assert "Join" not in plans._jdf.queryExecution().toString()
+
+
 def test_every_hundredth_row_asks(spark, folder, entries_of):
     rng = random.Random(11)
     words, syllables = ["set", "bank", "give up", "banks", None, "gift"], ["trông", "nom", "chăm", "sóc", "cho", "tặng"]
