@@ -150,6 +150,11 @@ def test_nearest_texts_in_blocks_and_passes(spark, entries_of, monkeypatch, once
     # no row a pair: neither side's triples are joined
     assert "Join" not in plans._jdf.queryExecution().toString()
 
+    words = spark.createDataFrame([(f"{a} {b}",) for a in ("trông", "chăm", "nom", "tặng") for b in ("nom", "sóc", "quà")], "compound string")
+    close = {1: "trong nomm", 2: "cham soc", 3: "tang", 4: "tangg qua", 5: "nom nomx"}
+    rows = {(r["query_id"], r["compound"], r["rank"]) for r in search.suggest(words, spark.createDataFrame(list(close.items()), "query_id int, query string"), 3).collect()}
+    assert {q for q, _, _ in rows} == {1, 4, 5} and (1, "trông nom", 1) in rows and (4, "tặng quà", 1) in rows and (5, "nom nom", 1) in rows
+
 
 def test_every_hundredth_row_asks(spark, folder, entries_of):
     rng = random.Random(11)
