@@ -101,6 +101,15 @@ def test_scored_glosses_against_brute_force(spark, folder, entries_of):
     assert got.keys() == wanted.keys() and all(abs(got[k] - wanted[k]) < 1e-4 for k in wanted)
 
 
+def test_glosses_meet_their_words_translations_as_rows(spark):
+    """A gloss is a row, also of many tokens and synonyms: its tokens aren't."""
+    table = spark.createDataFrame([("cat", "mèo", 1, 65535), ("cat", "con", 2, 13107), ("dog", "chó", 1, 65535)], "e string, f string, rank int, q int")
+    glosses = spark.createDataFrame([(1, "Cat", "con mèo, con con"), (2, "cat", "chó"), (3, "dog", "(x) , ,chó chó"), (4, None, "mèo"), (5, "cat", None), (6, "emu", "mèo")], "id int, en string, gloss string")
+    scored = lexicon.score_glosses(glosses, table)
+    assert {r["id"]: r["score"] for r in scored.collect()} == {1: round(1.2 / sqrt(2), 6), 3: round(2 / sqrt(2), 6)}
+    assert "Generate" not in scored._jdf.queryExecution().toString()
+
+
 def brute_bm25(docs, asked, b=0.2):
     """{(query, doc): score} of all that share a term."""
     n, average = len(docs), max(1.0, sum(map(len, docs.values())) / len(docs))
