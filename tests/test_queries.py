@@ -110,6 +110,14 @@ def test_glosses_meet_their_words_translations_as_rows(spark):
     assert "Generate" not in scored._jdf.queryExecution().toString()
 
 
+def test_probabilities_read_entries_once(spark, folder, entries_of):
+    pairs = spark.createDataFrame([(1, "cat", "mèo"), (2, "cat", "mèo"), (3, "dog", "chó")], "line_no long, en string, vi string")
+    at = folder(parallel_pairs=pairs, entries=entries_of(("cat", [("n", ["mèo con", None])]), ("dog", [("n", ["mèo"]), ("v", None)]), ("emu", None)))
+    found = queries.lexicon_probability(spark, at)
+    assert {(r["en"], r["vi"], r["p"] > 0.9) for r in found.collect()} == {("cat", "mèo", True), ("cat", "con", False), ("dog", "mèo", False)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("headword_norm") and found.inputFiles() and found._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
+
+
 def brute_bm25(docs, asked, b=0.2):
     """{(query, doc): score} of all that share a term."""
     n, average = len(docs), max(1.0, sum(map(len, docs.values())) / len(docs))
