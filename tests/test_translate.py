@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from lexiloom.operators import gloss, service, translate
 
@@ -89,3 +90,26 @@ def test_prior_changes_the_sense(spark):
     segments = [{"source": "harbour", "kind": "WORD", "candidates": [{"headword": "harbour", "gloss": "chỗ trú", "pos": N, "score": 1.0, "source_id": 0}, {"headword": "harbour", "gloss": "bến tàu", "pos": N, "score": 0.5, "source_id": 0}]}]
     assert translate.translate(segments, {}) == "Chỗ trú"
     assert translate.translate(segments, {}, {"harbour": {"bến": 0.41, "tàu": 0.39, "chỗ": 0.02}}) == "Bến tàu"
+
+
+def _kept(monkeypatch, run):
+    """Characters of what is kept in the shared folder while ``run`` runs, and its rows."""
+    frames = []
+    real = gloss.checkpointed
+
+    def keep(df):
+        frames.append(real(df))
+        return frames[-1]
+
+    for module in (gloss, translate):
+        monkeypatch.setattr(module, "checkpointed", keep, raising=False)
+    rows = run().collect()
+    return sum(f.select(F.sum(F.length(F.to_json(F.struct(*f.columns))))).first()[0] or 0 for f in frames), rows
+
+
+def test_no_word_carries_its_candidates(spark, entries_of, monkeypatch):
+    long = entries_of(("lantern", [(N, ["đèn lồng " + "x" * 2_000])]))
+    texts = spark.createDataFrame([(i, f"lantern {i}") for i in range(100)], "text_id int, text string")
+    kept, rows = _kept(monkeypatch, lambda: translate.translate_texts(texts, long))
+    assert len(rows) == 100 and all(r["translation"].lower().startswith("đèn lồng xxx") and r["translation"].endswith(str(r["text_id"])) for r in rows)
+    assert kept < 50_000
