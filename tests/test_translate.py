@@ -113,3 +113,14 @@ def test_no_word_carries_its_candidates(spark, entries_of, monkeypatch):
     kept, rows = _kept(monkeypatch, lambda: translate.translate_texts(texts, long))
     assert len(rows) == 100 and all(r["translation"].lower().startswith("đèn lồng xxx") and r["translation"].endswith(str(r["text_id"])) for r in rows)
     assert kept < 50_000
+
+
+def test_first_glosses_are_those_of_the_segments(spark, entries_of, monkeypatch):
+    e = entries_of(("harbour", [(N, ["chỗ trú " + "x" * 2_000, "hải cảng"]), (N, ["bến tàu"])]), ("set up", [(V, ["dựng"])]))
+    rows = spark.createDataFrame([*((i, f"harbour {i} set up, set") for i in range(60)), (60, None), (61, ""), (62, "harbour 1 set up, set")], "sentence_id int, sentence string")
+    table = spark.createDataFrame([("harbour", "bến", 1, 30000), ("harbour", "tàu", 2, 20000)], "e string, f string, rank int, q int")
+    kept, got = _kept(monkeypatch, lambda: gloss.first_glosses(rows, e, lexicon=table))
+    segments = {r["sentence_id"]: r["segments"] for r in gloss.gloss_sentences(rows, e, lexicon=table).collect()}
+    wanted = [(i, n, s["source"], s["kind"], s["candidates"][0]["gloss"] if s["candidates"] else None) for i, ss in segments.items() for n, s in enumerate(ss)]
+    assert sorted(map(tuple, got)) == sorted(wanted) and (1, 0, "harbour", "WORD", "bến tàu") in wanted and len(segments) == 63
+    assert kept < 50_000
