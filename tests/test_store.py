@@ -102,3 +102,23 @@ def test_compounds_are_expanded(spark):
     known = spark.createDataFrame([("đèn lồng",), ("đèn lồng đỏ",)], "compound string")
     assert sorted((r["doc_id"], r["pos"], r["term"]) for r in search.expand_compounds(docs, known).collect()) == [(1, 0, "đèn"), (1, 0, "đèn_lồng"), (1, 0, "đèn_lồng_đỏ"), (1, 1, "lồng"), (1, 2, "đỏ"), (2, 0, "x")]
     assert search.longest_postings(search.postings(docs)) == 1
+
+
+def test_many_asked_terms_make_no_hits_as_rows(spark, entries_of, monkeypatch):
+    """Each query meets each document: what leaves a task is its best ones only, with the same rows."""
+    r = random.Random(7)
+    some = lambda: " ".join(r.choice(("đèn", "lồng", "bến", "cảng", "nặng", "lanternlike", "den")) for _ in range(r.randint(1, 4)))
+    many = entries_of(*((r.choice(("lamp", "long lamp", "lanternlike", "")), [("danh từ", [some() + r.choice((", ", "")) + some(), some()])]) for _ in range(300)))
+    asked = spark.createDataFrame([(i, some()) for i in range(40)] + [(40, None), (41, "?!"), (42, "ồng bế"), (43, "đèn lồng, bến")], "query_id int, query string")
+    for fold in (False, True):
+        docs, q = search.gloss_documents(many, fold), asked.withColumn("q", F.lower(search.remove_diacritics(F.col("query")) if fold else F.col("query")))
+        terms = q.select("query_id", "q", search.split_tokens(F.col("q")).alias("tokens"))
+        wanted = search.rank_hits(search.bm25_scores(docs, terms.select("query_id", "tokens")), many, terms, 5, fold)
+        made = []
+        real = search.top_per_query
+        monkeypatch.setattr(search, "top_per_query", lambda s, k, **kw: made.append(s) or real(s, k, **kw))  # noqa: B023
+        got = search.search_vietnamese(many, asked, 5, fold)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
+        assert made[-1].count() < 2_000  # 12,000 pairs may meet; a task gives few
+        monkeypatch.undo()
+    assert search.search_vietnamese(many, asked.limit(0), 5).count() == 0
